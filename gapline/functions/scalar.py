@@ -50,7 +50,9 @@ def within(col, bounds: tuple[float, float] | None) -> Column:
 
 
 def clip(col, low: float, high: float) -> Column:
-    return F.least(F.greatest(_c(col), F.lit(float(low))), F.lit(float(high)))
+    # least and greatest skip nulls
+    col = _c(col)
+    return F.when(col.isNotNull(), F.least(F.greatest(col, F.lit(float(low))), F.lit(float(high))))
 
 
 # ---------------------------------------------------------------- derived signals

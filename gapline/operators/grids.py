@@ -45,6 +45,10 @@ def pane_code(offset_us, step_us: int) -> Column:
     return F.when(offset == i * step_us, 2 * i).otherwise(2 * i - 1)
 
 
+def _tagged(points: Column, scope: str) -> Column:
+    return F.transform(points, lambda i: F.struct(F.lit(scope).alias("scope"), i.alias("i")))
+
+
 def _number(value: str, as_float: bool) -> Column:
     """A sample value; by default with the precision of a float."""
     return F.col(value).cast("float").cast("double") if as_float else F.col(value).cast("double")
@@ -229,7 +233,7 @@ def window_medians(
         # a closed window also takes a sample exactly on its left edge
         reach = F.least(cell(F.col("_c") + (2 * width if closed else 2 * width - 1), 2), F.col("_last"))
         points = F.when(first <= reach, F.sequence(first, reach)).otherwise(F.array().cast("array<bigint>"))
-        targets.append(F.transform(points, lambda i, scope=scope: F.struct(F.lit(scope).alias("scope"), i.alias("i"))))
+        targets.append(_tagged(points, scope))
     rows = rows.select(*group, F.explode(F.concat(*targets)).alias("_w"), "_v", "_n").select(
         *group, "_w.scope", "_w.i", "_v", "_n"
     )

@@ -41,3 +41,14 @@ def local_session(app: str = "gapline", cpus: str | None = None) -> SparkSession
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the cluster's checkpoint folder; a temporary one only where none is set."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/gapline-{uuid.uuid4().hex}"
