@@ -83,7 +83,7 @@ def stat_list(scope: str, prefix: str, with_last: bool = True) -> str:
     for s in STATS:
         if s == "last" and not with_last:
             continue
-        x = f"{prefix}.{scope}_{s}" + (" * 3600" if s == "slope_linfit" else "")
+        x = f"{prefix}.{scope}_{s}" + (" * 86400" if s == "slope_linfit" else "")
         out.append(f"round({x}, 6) AS {scope}_{s}")
     return ", ".join(out)
 
@@ -95,13 +95,13 @@ SELECT c.user_id, c.episode_idx, c.signal, c.i, coalesce(f.fine_n, 0) AS fine_n,
 FROM coarse c LEFT JOIN fine f
   ON f.user_id = c.user_id AND f.episode_idx = c.episode_idx AND f.signal = c.signal AND f.i = c.i""")
 def window_stats(spark, d):
-    """Look-back statistics of every signal on a 6 h grid, over one and four days (slopes per hour)."""
+    """Look-back statistics of every signal on a 6 h grid, over one and four days (slopes per day)."""
     out = grids.grid_windows(samples(spark, d), EPISODE, STEP, {"fine": 4, "coarse": 16})
     cols = []
     for scope in ("fine", "coarse"):
         for s in STATS:
             if not (scope == "coarse" and s == "last"):
-                x = F.col(f"{scope}_{s}") * 3600 if s == "slope_linfit" else F.col(f"{scope}_{s}")
+                x = F.col(f"{scope}_{s}") * 86400 if s == "slope_linfit" else F.col(f"{scope}_{s}")
                 cols.append(r6(x).alias(f"{scope}_{s}"))
     return out.select(*EPISODE, "signal", "i", "fine_n", "coarse_n", *cols)
 
@@ -246,7 +246,7 @@ for _s in FEATURE_SIGNALS:
         for _st in STATS:
             if _scope == "coarse" and _st == "last":
                 continue
-            _x = f"{_alias}.{_scope}_{_st}" + (" * 3600" if _st == "slope_linfit" else "")
+            _x = f"{_alias}.{_scope}_{_st}" + (" * 86400" if _st == "slope_linfit" else "")
             _pieces.append(f"round(max(CASE WHEN {_alias}.signal = '{_s}' THEN {_x} END), 6) AS \"{_s}_{_scope}_{_st}\"")
 _kw = dict(source="ep_long", keys=("id", "episode_idx"), signal="sig", origin="origin")
 
@@ -272,7 +272,7 @@ def snapshot_features(spark, d):
     rounded = []
     for c in out.columns:
         if "_fine_" in c or "_coarse_" in c:
-            x = F.col(c) * 3600 if c.endswith("slope_linfit") else F.col(c)
+            x = F.col(c) * 86400 if c.endswith("slope_linfit") else F.col(c)
             rounded.append(r6(x).alias(c))
         else:
             rounded.append(F.col(c))
@@ -373,15 +373,15 @@ _look = [s for s in postpartum.VITAL_STATS if s != "measured"]
 
 
 def _scaled(s: str) -> str:
-    return f"{s} * 3600" if s == "slope_abs" else s
+    return f"{s} * 86400" if s == "slope_abs" else s
 
 
 @query("W18", f"""WITH {LOOKBACK_SQL} SELECT user_id, i, signal, CAST(measured AS INT) AS measured,
   {", ".join(f"round({_scaled(s)}, 6) AS {s}" for s in _look)} FROM look""")
 def lookback_features(spark, d):
-    """Closed two-day look-back on a 6 h grid after delivery (slopes per hour)."""
+    """Closed two-day look-back on a 6 h grid after delivery (slopes per day)."""
     out = postpartum.vital_features(after_samples(spark, d), KEY, STEP, 2 * day_us, day_us, 12 * 3600.0)
-    cols = [r6(F.col(s) * 3600 if s == "slope_abs" else F.col(s)).alias(s) for s in _look]
+    cols = [r6(F.col(s) * 86400 if s == "slope_abs" else F.col(s)).alias(s) for s in _look]
     return out.select("user_id", "i", "signal", "measured", *cols)
 
 
@@ -421,7 +421,7 @@ def _post_sql() -> str:
                 continue
             x = f"max(CASE WHEN l.signal = '{t}' THEN {_scaled('l.' + s) if s == 'slope_abs' else 'l.' + s} END)"
             if s == "slope_abs":
-                x = f"max(CASE WHEN l.signal = '{t}' THEN l.slope_abs * 3600 END)"
+                x = f"max(CASE WHEN l.signal = '{t}' THEN l.slope_abs * 86400 END)"
             if s == "measured":
                 cols.append(f"CAST(coalesce({x}, 0) AS INT) AS {v}_measured")
             elif s == "recency_s":
@@ -472,7 +472,7 @@ def postpartum_features(spark, d):
     for c, t in out.dtypes:
         x = F.col(c)
         if t == "double":
-            x = F.when(x == float("inf"), 1e9).otherwise(x * 3600 if c.endswith("slope_abs") else x)
+            x = F.when(x == float("inf"), 1e9).otherwise(x * 86400 if c.endswith("slope_abs") else x)
             if not (c.endswith("recency_s") or c.startswith("time_since_")):
                 x = F.round(x, 6)
         cols.append(x.alias(c))
