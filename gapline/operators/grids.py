@@ -1,9 +1,9 @@
 """Regular snapshot grids and window statistics on them.
 
 Samples are reduced to *panes* (the stretch between two grid points) by one
-aggregation with map-side combine; every window is then a sliding frame over panes.
-A task holds the panes of one (episode, signal): at most the grid length, whatever
-the number of samples.
+aggregation with map-side combine; every window then combines a few panes.  A task
+holds the panes of an (episode, signal): at most twice the grid length, whatever the
+number of samples.
 """
 
 from __future__ import annotations
@@ -45,20 +45,21 @@ def pane_code(offset_us, step_us: int) -> Column:
     return F.when(offset == i * step_us, 2 * i).otherwise(2 * i - 1)
 
 
-def _tagged(points: Column, scope: str) -> Column:
-    return F.transform(points, lambda i: F.struct(F.lit(scope).alias("scope"), i.alias("i")))
-
-
 def _number(value: str, as_float: bool) -> Column:
     """A sample value; by default with the precision of a float."""
     return F.col(value).cast("float").cast("double") if as_float else F.col(value).cast("double")
 
 
-def _half_up(code) -> Column:
+def _point(code) -> Column:
     """Grid point at or after a pane code."""
     return cell(code + 1, 2)
 
 
+def _reach(code, width: int, closed: bool) -> Column:
+    """Last grid point whose window holds the pane; a closed window also takes its left edge."""
+    return cell(code + (2 * width if closed else 2 * width - 1), 2)
+
+
 def grid_windows(
     samples: DataFrame,
     keys: Sequence[str],
@@ -85,17 +86,19 @@ def grid_windows(
     With `history`, every grid point from the first sample on appears, with
     `history_last` and `history_offset_us` (the newest sample of all time).
     Otherwise only points with a non-empty window appear.
+
+    Panes move once, to the task of their (keys, signal); windows are then formed there
+    by repeating a pane for the points that see it, without another shuffle.
     """
     keys = list(keys)
     group = [*keys, signal]
     step_s = step_us / 1e6
-    widest = max(windows.values()) if windows else 0
     rows = (
         samples.filter(F.col(value).isNotNull() & (F.col(offset_us) >= 0))
         .select(*group, F.col(offset_us).alias("_s"), _number(value, as_float).alias("_v"),
                 F.col(last_point).alias("_last"), *([seq] if seq else []))
         .withColumn("_c", pane_code("_s", step_us))
-        .withColumn("_u", (F.col("_s") - _half_up(F.col("_c")) * step_us) / F.lit(1e6))
+        .withColumn("_u", (F.col("_s") - _point(F.col("_c")) * step_us) / F.lit(1e6))
     )
     order = F.struct("_s", seq) if seq else F.col("_s")
     n = F.count(F.lit(1)).cast("double")
@@ -114,71 +117,59 @@ def grid_windows(
         F.max("_s").alias("_ls"),
         F.max("_last").alias("_last"),
     )
-    by_code = Window.partitionBy(*group).orderBy("_c")
-    everything = Window.partitionBy(*group)
-    j = _half_up(F.col("_c"))
-    next_point = _half_up(F.lead("_c").over(by_code))
+    whole = Window.partitionBy(*group)
+    panes = panes.withColumn("_ref", F.avg("_m").over(whole)).withColumn("_j", _point(F.col("_c")))
+    reaches = {scope: _reach(F.col("_c"), width, closed) for scope, width in windows.items()}
+    to = F.greatest(F.lit(-1), *reaches.values())
+    if history:
+        following = _point(F.lead("_c").over(whole.orderBy("_c")))
+        panes = panes.withColumn("_until", F.coalesce(following - 1, F.col("_last")))
+        to = F.greatest(to, F.col("_until"))
+    panes = panes.withColumns({f"_r_{scope}": reach for scope, reach in reaches.items()})
+    panes = panes.withColumn("_to", F.least(to, F.col("_last"))).filter(F.col("_j") <= F.col("_to"))
+    panes = panes.withColumn("i", F.explode(F.sequence("_j", "_to")))
+    # time of a sample relative to the grid point, value relative to the reference
+    back = (F.col("i") - F.col("_j")) * F.lit(step_s)
     dev = F.col("_m") - F.col("_ref")
-    panes = (
-        panes.withColumn("_to", F.least(F.coalesce(next_point - 1, F.col("_last")), F.col("_last")))
-        .withColumn("_ref", F.avg("_m").over(everything))
-        .withColumn("_j", j)
+    panes = panes.select(
+        *group, "i", "_ref", "_n", "_min", "_max", "_fv", "_lv", "_fs", "_ls",
+        *[f"_r_{scope}" for scope in windows], *(["_until"] if history else []),
+        (F.col("_n") * dev).alias("_d"),
+        (F.col("_m2") + F.col("_n") * dev * dev).alias("_dd"),
+        (F.col("_su") - F.col("_n") * back).alias("_x"),
+        (F.col("_suu") - 2 * back * F.col("_su") + F.col("_n") * back * back).alias("_xx"),
+        (F.col("_cuv") + F.col("_su") * dev - back * F.col("_n") * dev).alias("_xd"),
     )
-    if not history:
-        panes = panes.withColumn("_to", F.least(F.col("_to"), F.col("_j") + widest))
-    # one row for the pane itself and one per grid point up to the next pane
-    points = F.when(F.col("_j") <= F.col("_to"), F.sequence(F.col("_j"), F.col("_to"))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    panes = panes.withColumn("_i", F.explode(F.concat(F.array(F.lit(-1).cast("long")), points)))
-    own = F.col("_i") < 0
-    jd = F.col("_j").cast("double")
-    terms = {
-        "n": F.col("_n"), "d": F.col("_n") * dev, "dd": F.col("_m2") + F.col("_n") * dev * dev,
-        "u": F.col("_su"), "uu": F.col("_suu"), "ud": F.col("_cuv") + F.col("_su") * dev,
-        "nj": F.col("_n") * jd, "njj": F.col("_n") * jd * jd, "ju": jd * F.col("_su"),
-        "jd": jd * F.col("_n") * dev,
-    }
-    ends = {"min": "_min", "max": "_max", "fv": "_fv", "lv": "_lv", "fs": "_fs", "ls": "_ls"}
-    rows = panes.select(
-        *group, "_ref", "_i",
-        F.when(own, F.col("_c")).otherwise(2 * F.col("_i")).alias("_at"),
-        *[F.when(own, expr).alias(f"_t_{name}") for name, expr in terms.items()],
-        *[F.when(own, F.col(col)).alias(f"_e_{name}") for name, col in ends.items()],
-    )
-    made: dict[str, Column] = {}
-    by_at = Window.partitionBy(*group).orderBy("_at")
-    for scope, width in windows.items():
-        frame = by_at.rangeBetween(-(2 * width if closed else 2 * width - 1), 0)
-        for name in terms:
-            made[f"_{scope}_{name}"] = F.sum(f"_t_{name}").over(frame)
-        made[f"_{scope}_min"] = F.min("_e_min").over(frame)
-        made[f"_{scope}_max"] = F.max("_e_max").over(frame)
-        made[f"_{scope}_fv"] = F.first("_e_fv", ignorenulls=True).over(frame)
-        made[f"_{scope}_fs"] = F.first("_e_fs", ignorenulls=True).over(frame)
-        made[f"_{scope}_lv"] = F.last("_e_lv", ignorenulls=True).over(frame)
-        made[f"_{scope}_ls"] = F.last("_e_ls", ignorenulls=True).over(frame)
+    aggs = [F.max("_ref").alias("_ref")]
+    for scope in windows:
+        seen = F.col("i") <= F.col(f"_r_{scope}")
+
+        def own(col: str, seen=seen) -> Column:
+            return F.when(seen, F.col(col))
+
+        aggs += [F.sum(own(f"_{t}")).alias(f"_{scope}_{t}") for t in ("n", "d", "dd", "x", "xx", "xd")]
+        aggs += [
+            F.min(own("_min")).alias(f"_{scope}_min"), F.max(own("_max")).alias(f"_{scope}_max"),
+            F.min_by(own("_fv"), own("_fs")).alias(f"_{scope}_fv"), F.max_by(own("_lv"), own("_ls")).alias(f"_{scope}_lv"),
+            F.min(own("_fs")).alias(f"_{scope}_fs"), F.max(own("_ls")).alias(f"_{scope}_ls"),
+        ]
     if history:
-        past = by_at.rangeBetween(Window.unboundedPreceding, 0)
-        made["history_last"] = F.last("_e_lv", ignorenulls=True).over(past)
-        made["history_offset_us"] = F.last("_e_ls", ignorenulls=True).over(past)
-    rows = rows.withColumns(made).filter(F.col("_i") >= 0)
-    out = [*group, F.col("_i").alias("i")]
+        newest = F.col("i") <= F.col("_until")
+        aggs += [
+            F.max(F.when(newest, F.col("_lv"))).alias("history_last"),
+            F.max(F.when(newest, F.col("_ls"))).alias("history_offset_us"),
+        ]
+    rows = panes.groupBy(*group, "i").agg(*aggs)
+    out = [*group, "i"]
     if history:
         out += ["history_last", "history_offset_us"]
     least = F.lit(float(max(2, min_samples)))
-    point = F.col("_i").cast("double")
     for scope in windows:
-        t = {name: F.col(f"_{scope}_{name}") for name in (*terms, *ends)}
+        t = {name: F.col(f"_{scope}_{name}") for name in
+             ("n", "d", "dd", "x", "xx", "xd", "min", "max", "fv", "lv", "fs", "ls")}
         enough = t["n"] >= least
-        # time of a sample relative to the grid point is u - step * (i - j)
-        back = point * t["n"] - t["nj"]
-        back2 = point * point * t["n"] - 2 * point * t["nj"] + t["njj"]
-        x = t["u"] - step_s * back
-        xx = t["uu"] - 2 * step_s * (point * t["u"] - t["ju"]) + step_s * step_s * back2
-        xd = t["ud"] - step_s * (point * t["d"] - t["jd"])
-        spread = xx - x * x / t["n"]
-        slope = (xd - x * t["d"] / t["n"]) / spread
+        spread = t["xx"] - t["x"] * t["x"] / t["n"]
+        slope = (t["xd"] - t["x"] * t["d"] / t["n"]) / spread
         variance = F.greatest(t["dd"] / t["n"] - (t["d"] / t["n"]) * (t["d"] / t["n"]), F.lit(0.0))
         out += [
             F.coalesce(t["n"], F.lit(0.0)).cast("long").alias(f"{scope}_n"),
@@ -194,11 +185,6 @@ def grid_windows(
             t["fs"].alias(f"{scope}_first_offset_us"),
         ]
     result = rows.select(*out)
-    if windows and not history:
-        some = F.lit(False)
-        for scope in windows:
-            some = some | (F.col(f"{scope}_n") > 0)
-        result = result.filter(some)
     if windows and medians:
         med = window_medians(
             samples, keys, step_us, windows, signal, offset_us, value, last_point, closed, min_samples, as_float
@@ -207,6 +193,14 @@ def grid_windows(
     return result
 
 
+def _tagged(points: Column, scope: str) -> Column:
+    return F.transform(points, lambda i: F.struct(F.lit(scope).alias("scope"), i.alias("i")))
+
+
+def _points(first: Column, last: Column) -> Column:
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
 def window_medians(
     samples: DataFrame, keys: Sequence[str], step_us: int, windows: Mapping[str, int], signal: str = "signal",
     offset_us: str = "offset_us", value: str = "value", last_point: str = "last_point", closed: bool = False,
@@ -214,11 +208,15 @@ def window_medians(
 ) -> DataFrame:
     """Exact medians per window: keys, signal, `i`, `{scope}_median`.
 
-    Samples are first counted per (pane, float value); a window then sorts the distinct
-    values of its panes (sort and spill, no per-window state in memory).  With masked
-    signals the distinct float values of a window are bounded by the plausible range.
+    Samples are first counted per (pane, float value).  The counts move to blocks of as
+    many grid points as the widest window has steps, so each goes to two or three
+    blocks; windows are formed inside the block and sort their distinct values (sort
+    and spill, no per-window state in memory).  With masked signals the distinct float
+    values of a window are bounded by the plausible range.
     """
     group = [*keys, signal]
+    span = max(windows.values())
+    code = F.col("_c")
     rows = (
         samples.filter(F.col(value).isNotNull() & (F.col(offset_us) >= 0))
         .select(*group, F.col(offset_us).alias("_s"), _number(value, as_float).alias("_v"),
@@ -227,17 +225,18 @@ def window_medians(
         .groupBy(*group, "_c", "_v")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("_last").alias("_last"))
     )
-    first = _half_up(F.col("_c"))
-    targets = []
-    for scope, width in windows.items():
-        # a closed window also takes a sample exactly on its left edge
-        reach = F.least(cell(F.col("_c") + (2 * width if closed else 2 * width - 1), 2), F.col("_last"))
-        points = F.when(first <= reach, F.sequence(first, reach)).otherwise(F.array().cast("array<bigint>"))
-        targets.append(_tagged(points, scope))
-    rows = rows.select(*group, F.explode(F.concat(*targets)).alias("_w"), "_v", "_n").select(
-        *group, "_w.scope", "_w.i", "_v", "_n"
+    furthest = F.least(_reach(code, span, closed), F.col("_last"))
+    blocks = _points(cell(_point(code), span), F.when(_point(code) <= furthest, cell(furthest, span)).otherwise(-1))
+    rows = rows.withColumn("_block", F.explode(blocks)).repartition(*group, "_block")
+    begin = F.greatest(_point(code), F.col("_block") * span)
+    end = F.least(F.col("_last"), F.col("_block") * span + (span - 1))
+    targets = [
+        _tagged(_points(begin, F.least(_reach(code, width, closed), end)), scope) for scope, width in windows.items()
+    ]
+    rows = rows.select(*group, "_block", F.explode(F.concat(*targets)).alias("_w"), "_v", "_n").select(
+        *group, "_block", "_w.scope", "_w.i", "_v", "_n"
     )
-    one = [*group, "i", "scope"]
+    one = [*group, "_block", "i", "scope"]
     run = Window.partitionBy(*one).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_upto", F.sum("_n").over(run)).withColumn(
         "_all", F.sum("_n").over(Window.partitionBy(*one))
@@ -255,7 +254,7 @@ def window_medians(
         return ((at_low + at_high) / 2).alias(f"{scope}_median")
 
     picked = rows.filter((F.col("_all") >= max(2, min_samples)) & (holds(low) | holds(high)))
-    return picked.groupBy(*group, "i").agg(*[middle(scope) for scope in windows])
+    return picked.groupBy(*group, "_block", "i").agg(*[middle(scope) for scope in windows]).drop("_block")
 
 
 def grid_last(
@@ -311,16 +310,15 @@ def spread_signals(
     """
     keys = list(keys)
     kept = list(dict.fromkeys(columns.values()))
-    empty = grid.select(*keys, "i", F.lit(None).cast("string").alias(signal),
-                        *[F.lit(None).cast(long.schema[c].dataType).alias(c) for c in kept])
-    both = long.select(*keys, "i", signal, *kept).unionByName(empty)
+    entry = F.struct(F.col(signal), F.struct(*kept))
+    found = long.select(*keys, "i", entry.alias("_e"))
+    empty = grid.select(*keys, "i", F.lit(None).cast(found.schema["_e"].dataType).alias("_e"))
+    # at most one entry per signal
+    wide = found.unionByName(empty).groupBy(*keys, "i").agg(F.map_from_entries(F.collect_list("_e")).alias("_m"))
     cells = [
-        F.max(F.when(F.col(signal) == s, F.col(col))).alias(name(s, stat))
-        for s in signals
-        for stat, col in columns.items()
+        F.element_at("_m", F.lit(s))[col].alias(name(s, stat)) for s in signals for stat, col in columns.items()
     ]
-    wide = both.groupBy(*keys, "i").agg(*cells)
-    return wide
+    return wide.select(*keys, "i", *cells)
 
 
 def snapshot_time(start_us: str, step_us: int) -> Column:

@@ -14,6 +14,7 @@ from gapline.operators import reshape, statics
 from gapline.operators.grids import STATS, closed_grid, grid_last, grid_windows, offsets, spread_signals
 from gapline.operators.labels import label_last_before_event
 from gapline.operators.matrix import balanced_sample, dose_presence, frequency_filter
+from gapline.sources.writers import materialize
 
 EPISODE = [ENTITY, "episode_idx"]
 TS = "event_time_abs"
@@ -59,20 +60,28 @@ def snapshot_features(
     timeline: DataFrame, doses: DataFrame | None = None, static: DataFrame | None = None,
     settings: SnapshotSettings = SnapshotSettings(), plausible: Mapping = PLAUSIBLE,
     derived: Mapping = DERIVED_PLAUSIBLE, roles: Mapping[str, str] | None = None,
-    baseline_columns: Mapping[str, str] | None = None,
+    baseline_columns: Mapping[str, str] | None = None, work: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(features, labels) per kept snapshot.
 
     `timeline` is wide, with entity, time, episode and pregnancy number.  All episodes
     run as one job: samples shrink to panes, windows are frames over panes, and only
-    snapshots that keep a label are spread to columns.
+    snapshots that keep a label are spread to columns.  `work` names a shared folder for
+    the samples and episode spans, which several steps read; without it they are
+    computed each time.
     """
     roles = {"sys": "sistol", "dia": "diastol", "pulse": "pulse", **(roles or {})}
     rows, signals = masked_signals(timeline, settings.signals, plausible, derived, **roles)
+    if work:
+        spark, masked = timeline.sparkSession, rows
+        rows = materialize(spark, f"{work}/masked", lambda: masked)
     spans = rows.groupBy(*EPISODE).agg(
         F.max("pregnancy_index").cast("int").alias("pregnancy_index"), F.min(micros(TS)).alias("start_us"),
         F.max(micros(TS)).alias("end_us"),
     )
+    if work:
+        measured = spans
+        spans = materialize(spark, f"{work}/spans", lambda: measured)
     grid = closed_grid(spans, EPISODE, "start_us", "end_us", settings.step_us)
     if doses is None:
         labels = grid.withColumn("label", F.lit(0)).withColumn("trigger_dose_time", F.lit(None).cast("timestamp_ntz"))

@@ -10,6 +10,7 @@ from gapline.operators import episodes as ep
 from gapline.operators import grids, labels, nearest, postpartum, reshape, statics
 from gapline.plans import postpartum as postpartum_plan
 from gapline.plans import snapshots as snapshot_plan
+from gapline.session import shared_folder
 from gapline.suite.registry import query, table
 from gapline.suite.timeline import EPISODE, EPISODES_SQL, KEY, TYPES, events, hourly
 
@@ -268,7 +269,7 @@ def snapshot_features(spark, d):
         step_us=day_us, fine_us=3 * day_us, coarse_us=6 * day_us, episode_gap_us=2 * day_us, signals=tuple(ORDER)
     )
     timeline = snapshot_plan.add_index(wide_timeline(spark, d), settings.episode_gap_us)
-    out, _ = snapshot_plan.snapshot_features(timeline, settings=settings, plausible=RANGES, derived=DERIVED)
+    out, _ = snapshot_plan.snapshot_features(timeline, settings=settings, plausible=RANGES, derived=DERIVED, work=shared_folder(spark))
     rounded = []
     for c in out.columns:
         if "_fine_" in c or "_coarse_" in c:
@@ -312,7 +313,7 @@ def personalized_deltas(spark, d):
                          F.date_trunc("day", "ts").cast("timestamp_ntz").alias("event_time_abs"))
     shots = shots.join(timeline.select(ENTITY, "event_time_abs", "episode_idx"), [ENTITY, "event_time_abs"])
     out, _ = snapshot_plan.snapshot_features(
-        timeline, shots, static_baselines(spark, d), settings, RANGES, DERIVED)
+        timeline, shots, static_baselines(spark, d), settings, RANGES, DERIVED, work=shared_folder(spark))
     wanted = [c for c in out.columns if "_from_prebirth_last" in c]
     return out.select(ENTITY, "episode_idx", "snapshot_time", *[r6(c).alias(c) for c in wanted])
 
