@@ -97,17 +97,22 @@ def signed_hms(seconds) -> Column:
     return F.when(seconds.isNotNull(), shown)
 
 
+def once(value: Column, use) -> Column:
+    """`use(value)` with the value evaluated a single time per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def duration_minutes(text) -> Column:
     """`H:M:S`, `H:M`, `M:S` (first part 24 or more, second below 60) or a bare number, in minutes."""
     text = F.replace(F.trim(_c(text).cast("string")), F.lit(","), F.lit("."))
-    parts = F.split(text, ":")
-    a, b, c = (F.trim(F.get(parts, F.lit(i))).try_cast("double") for i in range(3))
-    pair = F.when((a >= 24) & (b < 60), a + b / 60).otherwise(a * 60 + b)
-    return (
-        F.when(F.size(parts) == 3, a * 60 + b + c / 60)
-        .when((F.size(parts) == 2) & a.isNotNull() & b.isNotNull(), pair)
-        .when(F.size(parts) == 1, a)
-    )
+    numbers = F.transform(F.split(text, ":"), lambda part: F.trim(part).try_cast("double"))
+
+    def minutes(parts: Column) -> Column:
+        a, b, c = (F.get(parts, F.lit(i)) for i in range(3))
+        pair = F.when((a >= 24) & (b < 60), a + b / 60).when(a.isNotNull(), a * 60 + b)
+        return F.when(F.size(parts) == 3, a * 60 + b + c / 60).when(F.size(parts) == 2, pair).when(F.size(parts) == 1, a)
+
+    return once(numbers, minutes)
 
 
 def stage_minutes(hours, begin=None, end=None) -> Column:
@@ -115,9 +120,10 @@ def stage_minutes(hours, begin=None, end=None) -> Column:
     value = _c(hours) * 60
     if begin is None or end is None:
         return value
-    begin, end = _c(begin), _c(end)
-    span = F.when(end >= begin, end - begin).otherwise(end)
-    return F.coalesce(value, F.when(begin.isNotNull() & end.isNotNull(), span))
+    # null unless both are known
+    span = once(F.struct(_c(begin).alias("b"), _c(end).alias("e")),
+                lambda x: F.when(x["e"] >= x["b"], x["e"] - x["b"]).when(x["b"].isNotNull(), x["e"]))
+    return F.coalesce(value, span)
 
 
 def first_match(text, rules: Sequence[tuple[str, Sequence[Sequence[str]]]]) -> Column:

@@ -33,6 +33,10 @@ def local_session(app: str = "gapline", cpus: str | None = None) -> SparkSession
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.default.parallelism", str(cpus))
+        # keep all cores busy on small shuffles
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
+        # no call-site capture for every column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
     )
