@@ -148,7 +148,7 @@ def newborns_full(df: DataFrame, entity: str = ENTITY) -> DataFrame:
     kind = F.col("birth_type" if "birth_type" in have else "pose")
     pose = F.col("pose" if "pose" in have else "birth_type")
     agg = df.groupBy(entity).agg(
-        F.count(counted).cast("int").alias("fetus_count"), F.max(still).alias("stillborn_any"), *stats,
+        F.count(lenient_double("weight") if counted == "weight" else counted).cast("int").alias("fetus_count"), F.max(still).alias("stillborn_any"), *stats,
         F.mode(kind, True).alias("mode_birth_type"), F.mode(pose, True).alias("mode_pose"),
     )
     return agg.withColumn("multiple_gestation", (F.col("fetus_count") >= 2).cast("int"))
