@@ -13,6 +13,7 @@ from gapline.functions.scalar import first_match, safe_name, strict_double, tran
 from gapline.operators import episodes as ep
 from gapline.operators import reshape
 from gapline.operators.labels import align_labels
+from gapline.sources.writers import materialize
 
 TS = "event_time_abs"
 
@@ -65,14 +66,23 @@ def births(newborns: DataFrame) -> DataFrame:
 def build_timeline(
     vitals: DataFrame, labs: DataFrame, drugs: DataFrame, births: DataFrame, gap_us: int = 183 * day_us,
     near_us: int = second_us, birth_slice_us: int = 30 * day_us, names: Sequence[str] = VITALS,
+    work: str | None = None, force: bool = False,
 ) -> Timeline:
-    """Wide tables to one timeline: merge, episodes, births, column kinds, near-duplicate collapse."""
+    """Wide tables to one timeline: merge, episodes, births, column kinds, near-duplicate collapse.
+
+    `work` names a shared folder for the stored steps (merged rows, bounds, aligned
+    rows); a step that is already there is read instead of made, unless forced.
+    """
+    def step(name: str, df: DataFrame) -> DataFrame:
+        return materialize(df.sparkSession, f"{work}/{name}", lambda: df, force) if work else df
+
     merged = reshape.outer_merge([vitals, labs, drugs], [ENTITY, TS])
     merged = merged.withColumn(ENTITY, F.col(ENTITY).cast("string")).filter(F.col(TS).isNotNull())
+    merged = step("merged", merged)
     bounds = ep.gap_episode_bounds(merged, [ENTITY], TS, gap_us)
-    bounds = ep.match_births(bounds, births, [ENTITY], slice_us=birth_slice_us)
+    bounds = step("bounds", ep.match_births(bounds, births, [ENTITY], slice_us=birth_slice_us))
     rows = ep.gap_episodes(merged, [ENTITY], TS, gap_us)
-    rows = ep.attach_birth(rows, bounds, [ENTITY], TS)
+    rows = step("aligned", ep.attach_birth(rows, bounds, [ENTITY], TS))
     keys = [ENTITY, TS, "birth_datetime", "t_from_birth_sec", "t_from_birth_str", "episode_idx"]
     shown, lab_cols, drug_cols = reshape.classify_columns(rows, keys, names)
     compact = reshape.collapse_near_duplicates(

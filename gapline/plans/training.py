@@ -16,6 +16,7 @@ from gapline.operators.matrix import (
     add_missing_mask, apply_scaler, binarize, fit_scaler, group_holdout, project_matrix, varying_features,
 )
 from gapline.operators.reshape import semi_join
+from gapline.sources.writers import materialize
 
 PAIR = [ENTITY, "episode_idx"]
 META = [ENTITY, "episode_idx", "snapshot_time", "mins_postpartum", "pregnancy_index"]
@@ -24,9 +25,13 @@ META = [ENTITY, "episode_idx", "snapshot_time", "mins_postpartum", "pregnancy_in
 def build_matrix(
     features: DataFrame, labels: DataFrame, columns: Sequence[str] | None = None, kept: DataFrame | None = None,
     planning: ColumnSettings = ColumnSettings(), training: TrainingSettings = TrainingSettings(),
-    target: str = "label", time_column: str | None = None, drop_constant: bool = False,
+    target: str = "label", time_column: str | None = None, drop_constant: bool = False, work: str | None = None,
+    force: bool = False,
 ) -> tuple[DataFrame, list[str]]:
-    """(meta columns, `y` and float features; feature names).  Column choice happens before the scan."""
+    """(meta columns, `y` and float features; feature names).  Column choice happens before the scan.
+
+    `work` names a shared folder where the matrix is stored and reused.
+    """
     used = plan_columns(columns if columns is not None else features.columns, planning)
     meta = [c for c in (ENTITY, "episode_idx", "snapshot_time", "pregnancy_index") if c in features.columns]
     rows = features.select(*meta, *[F.col(f"`{c}`") for c in present(features, used)])
@@ -42,6 +47,9 @@ def build_matrix(
     rows = binarize(minutes_from_start(rows, PAIR, "snapshot_time"), target, training.positive_labels)
     shown = [c for c in META if c in rows.columns]
     matrix = project_matrix(rows.dropna(subset=["y"]), used, [*shown, "y"])
+    if work:
+        made = matrix
+        matrix = materialize(features.sparkSession, f"{work}/matrix", lambda: made, force)
     if drop_constant:
         used = varying_features(matrix, used, training.min_variance)
         matrix = matrix.select(*shown, "y", *[F.col(f"`{c}`") for c in used])
@@ -66,9 +74,16 @@ class Report:
     importance: DataFrame
 
 
-def train_folds(matrix: DataFrame, features: Sequence[str], ids: Sequence[str], settings: TrainingSettings = TrainingSettings()) -> Report:
-    """Grouped folds by episode on imputed features; the fold with the best area keeps its model."""
+def train_folds(matrix: DataFrame, features: Sequence[str], ids: Sequence[str],
+                settings: TrainingSettings = TrainingSettings(), work: str | None = None) -> Report:
+    """Grouped folds by episode on imputed features; the fold with the best area keeps its model.
+
+    With `work`, the imputed table is stored once: every tree level of every fold reads it.
+    """
     ready, names = impute(matrix, features)
+    if work:
+        filled = ready
+        ready = materialize(matrix.sparkSession, f"{work}/imputed", lambda: filled, force=True)
     model, scores, metrics = models.cross_validate(
         ready, names, "y", PAIR, settings.folds, settings.seed, settings.even_classes, ids, settings.threshold,
         trees=settings.trees, depth=settings.depth, step=settings.step, subsample=settings.subsample,

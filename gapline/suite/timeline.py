@@ -8,6 +8,7 @@ from gapline.functions.clock import day_us, from_micros, hour_us, micros, minute
 from gapline.functions.scalar import signed_hms
 from gapline.operators import episodes as ep
 from gapline.operators import nearest, reshape
+from gapline.session import shared_folder
 from gapline.suite.registry import query, table
 
 KEY = ["user_id"]
@@ -341,3 +342,61 @@ SELECT DISTINCT round(x, 2) AS seconds, CASE WHEN x < 0 THEN '-' ELSE '' END
 def signed_hms_text(spark, d):
     x = F.col("l_extendedprice") - 50000
     return table(spark, d, "lineitem").select(F.round(x, 2).alias("seconds"), signed_hms(x).alias("shown")).distinct()
+
+
+# ------------------------------------------------------------------ the timeline flow
+def raw_tables(spark, d):
+    """Events as measurement, lab and drug files with their text formats; purchases are births too."""
+    rows = events(spark, d)
+    entity = F.col("user_id").cast("string").alias("hashed_mother_id")
+    text = F.date_format("ts", "yyyy/MM/dd HH:mm:ss.SSSSSS")
+    kind = F.col("event_type")
+    measurements = rows.filter(kind.isin("view", "click")).select(
+        entity, "event_id", text.alias("parameter_time"),
+        F.when(kind == "view", "לחץ סיסטולי").otherwise("pulse").alias("Parameter_Name"),
+        F.col("value").cast("string").alias("ResultNumeric"), F.when(F.col("value") > 200, 1).alias("flag"),
+    )
+    labs = rows.filter(kind == "signup").select(
+        entity, "event_id", text.alias("ResultTime"), F.lit("hgb (blood)").alias("TestName"), F.col("value").cast("string").alias("Result")
+    )
+    drugs = rows.filter(kind == "error").select(
+        entity, text.alias("ExecutionTime"), F.when(F.col("value") > 30, "Oxytocin 10u").otherwise("Aspirin").alias("DrugName")
+    )
+    children = rows.filter(kind == "purchase").select(
+        entity, F.when(F.col("value") > 20, text).alias("birth_time"), text.alias("child_birth_date")
+    )
+    return measurements, labs, drugs, children
+
+
+@query("J01 W01 A10 J03 P05 P11 P12 P14 P26 P28 P31 W07 A12 A01 A03", """
+WITH r AS (SELECT CAST(user_id AS VARCHAR) AS id, ts,
+  CASE WHEN event_type = 'view' THEN value END AS sistol, CASE WHEN event_type = 'click' THEN value END AS pulse,
+  CASE WHEN event_type = 'signup' THEN value END AS "HGB_BLOOD", CASE WHEN event_type = 'error' THEN 1 END AS "OXYTOCIN"
+  FROM events WHERE (event_type IN ('view', 'click') AND value <= 200) OR event_type = 'signup' OR (event_type = 'error' AND value > 30)),
+n AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 1 DAY THEN 1 ELSE 0 END AS new_ep,
+  CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 1 HOUR THEN 1 ELSE 0 END AS new_cl
+  FROM r WINDOW w AS (PARTITION BY id ORDER BY ts)),
+e AS (SELECT *, CAST(sum(new_ep) OVER w AS INT) AS episode_idx, sum(new_cl) OVER w AS cl FROM n WINDOW w AS (PARTITION BY id ORDER BY ts)),
+b AS (SELECT id, episode_idx, min(ts) AS s, max(ts) AS f FROM e GROUP BY id, episode_idx),
+births AS (SELECT CAST(user_id AS VARCHAR) AS id, ts AS b FROM events WHERE event_type = 'purchase'),
+m AS (SELECT b.id, b.episode_idx, births.b AS birth, row_number() OVER (PARTITION BY b.id, b.episode_idx
+  ORDER BY CASE WHEN births.b BETWEEN b.s AND b.f THEN 0 ELSE 1 END, abs(epoch_us(births.b) - epoch_us(b.s)), births.b DESC) AS rn
+  FROM b LEFT JOIN births ON births.id = b.id),
+c AS (SELECT e.id, cl, min(ts) AS ts, arg_min(m.birth, ts) AS birth, min(e.episode_idx) AS episode_idx, arg_max(sistol, ts) AS sistol,
+  arg_max(pulse, ts) AS pulse, arg_max("HGB_BLOOD", ts) AS hgb, max("OXYTOCIN") AS oxy
+  FROM e LEFT JOIN m ON m.id = e.id AND m.episode_idx = e.episode_idx AND m.rn = 1 GROUP BY e.id, cl)
+SELECT id AS hashed_mother_id, ts AS event_time_abs, birth AS birth_datetime, (epoch_us(ts) - epoch_us(birth)) / 1e6 AS t_from_birth_sec,
+  episode_idx, sistol, pulse, hgb AS "HGB_BLOOD", oxy AS "OXYTOCIN" FROM c""")
+def timeline_build(spark, d):
+    """Raw text tables to the collapsed, episode- and birth-aligned timeline."""
+    from gapline.plans import timeline as flow
+
+    measurements, labs, drugs, children = raw_tables(spark, d)
+    built = flow.build_timeline(
+        flow.vitals_wide(measurements, "event_id"), flow.labs_wide(labs, "event_id"), flow.drugs_wide(drugs),
+        flow.births(children), day_us, hour_us, day_us, work=shared_folder(spark),
+    )
+    return built.rows.select(
+        "hashed_mother_id", "event_time_abs", "birth_datetime", "t_from_birth_sec", "episode_idx", "sistol", "pulse",
+        "HGB_BLOOD", "OXYTOCIN",
+    )

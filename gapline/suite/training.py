@@ -426,3 +426,35 @@ def permutation_importance(spark, d):
     rows, names = _vectors(spark, d, 4)
     model = models.fit_trees(models.weight_rows(rows, "y"), names, "y", trees=3, depth=2, step=0.3)
     return models.permutation_importance(model, rows, names, "y", ["vec_id"], repeats=2, tested=names[:2])
+
+
+# ------------------------------------------------------------------ whole flows
+@query("M01 M05 M06 M07 M08 M10 M11 M12 W14 W17 L03 O02 A17 J13 J14")
+def features_to_folds(spark, d):
+    """Timeline and doses to snapshots, static columns, matrix and grouped folds; metrics per fold."""
+    from gapline.config import SnapshotSettings
+    from gapline.plans import snapshots as snapshot_plan
+    from gapline.session import shared_folder
+    from gapline.sources.writers import materialize
+    from gapline.suite.snapshots import DERIVED, ORDER, RANGES, static_baselines
+
+    settings = SnapshotSettings(
+        step_us=day_us, fine_us=3 * day_us, coarse_us=6 * day_us, label_window_us=20 * hour_us, episode_gap_us=4 * day_us,
+        min_vital_frequency=0.1, sample_per_class=5000, signals=tuple(ORDER),
+    )
+    work = shared_folder(spark)
+    timeline = materialize(spark, f"{work}/timeline", lambda: add_index(wide_timeline(spark, d), settings.episode_gap_us))
+    shots = events(spark, d).filter("event_type = 'purchase' AND value > 60").select(
+        F.col("user_id").cast("string").alias(ENTITY), F.col("ts").alias("dose_time"),
+        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("event_time_abs"),
+    )
+    shots = shots.join(timeline.select(ENTITY, "event_time_abs", "episode_idx"), [ENTITY, "event_time_abs"])
+    kept = snapshot_plan.select_episodes(timeline, shots, settings)
+    static = static_baselines(spark, d)
+    features, marks = snapshot_plan.snapshot_features(kept, shots, static, settings, RANGES, DERIVED, work=work)
+    features = snapshot_plan.with_static(features, static)
+    built, used = plan.build_matrix(features, marks, drop_constant=True, work=work)
+    used = [c for c in used if c.endswith(("_fine_mean", "_coarse_max", "segment_length"))]
+    small = TrainingSettings(trees=3, depth=2, step=0.3, folds=2)
+    report = plan.train_folds(built, used, ["hashed_mother_id", "episode_idx", "snapshot_time"], small, work)
+    return report.metrics
