@@ -113,7 +113,7 @@ def asof(
     right_us: str,
     payload: Sequence[str],
     out: str = "_match",
-    slice_us: int = DAY_US,
+    slice_us: int | None = None,
     forward: bool = False,
     strict: bool = False,
 ) -> DataFrame:
@@ -121,9 +121,12 @@ def asof(
 
     `forward` looks at or after instead; `strict` excludes equal times.  Times are
     microsecond columns; rows of a key are cut into time slices, and the last right row
-    of earlier slices is carried in, so a task sees one slice of one key at most.
-    Right rows with equal times are ordered by their payload.
+    of earlier slices is carried in, so a task sees one slice of one key at most.  The
+    slice width is measured unless it is given.  Right rows with equal times are ordered
+    by their payload.
     """
+    if slice_us is None:
+        slice_us = min(measured_slice(left, keys, left_us), measured_slice(right, keys, right_us))
     sign = F.lit(-1 if forward else 1)
     keys = list(keys)
     left = left.filter(F.col(left_us).isNotNull()) if left_us in left.columns else left
@@ -223,12 +226,13 @@ def exact_quantile(
     buckets: int = CELLS_PER_BLOCK,
     levels: int = 2,
 ) -> DataFrame:
-    """Exact interpolated quantile per key, for keys that hold far more rows than a task.
+    """Exact interpolated quantile per key, for a few keys that hold far more rows than a task.
 
     Every level counts values in equal-width buckets (map-side combine), keeps the at
     most two buckets that hold the wanted ranks, and the next level looks inside those
     only; the last step counts the distinct values left.  `percentile` would hold all
-    distinct values of a key in the memory of one task.
+    distinct values of a key in the memory of one task.  The keys are few (the features
+    of a matrix), and so are the buckets sent to every task: two per key.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
@@ -258,7 +262,7 @@ def exact_quantile(
         b = f"_b{level}"
         spread = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * buckets
         rows = (
-            rows.join(bounds, path)
+            rows.join(F.broadcast(bounds), path)
             .withColumn(b, F.coalesce(F.least(F.floor(spread), F.lit(buckets - 1)), F.lit(0)))
         )
         counts = rows.groupBy(*path, b, "_r1", "_r2", "_frac", "_base").agg(
@@ -272,7 +276,7 @@ def exact_quantile(
         )
         rows = rows.drop(*kept)
         path = [*path, b]
-    left = rows.join(bounds, path).groupBy(*path, "_v", "_r1", "_r2", "_frac", "_base").agg(F.count(F.lit(1)).alias("_n"))
+    left = rows.join(F.broadcast(bounds), path).groupBy(*path, "_v", "_r1", "_r2", "_frac", "_base").agg(F.count(F.lit(1)).alias("_n"))
     before = _over(path, "_v").rowsBetween(Window.unboundedPreceding, -1)
     left = left.withColumn("_base", F.col("_base") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
     low = F.max(F.when(holds("_r1"), F.col("_v")))
@@ -285,16 +289,15 @@ def exact_quantile(
 def measured_slice(
     df: DataFrame, keys: Sequence[str], us: str, start_us: int = DAY_US, target_rows: int = 4_000_000
 ) -> int:
-    """A slice width that leaves no (key, slice) above the target row count; one counting job per try.
+    """A slice width that leaves no (key, slice) above the target row count.
 
-    The width is halved until the fullest slice fits or one second is reached.
+    One counting job with map-side combine per try; the width shrinks in proportion to
+    the fullest slice until it fits or one second is reached.
     """
     width = start_us
-    while width > 1_000_000:
-        fullest = (
-            df.groupBy(*keys, cell(us, width).alias("_s")).count().agg(F.max("count").alias("n")).first()["n"]
-        )
-        if fullest is None or fullest <= target_rows:
-            break
-        width //= 2
-    return width
+    while True:
+        counts = df.groupBy(*keys, cell(us, width).alias("_s")).agg(F.count(F.lit(1)).alias("n"))
+        fullest = counts.agg(F.max("n")).first()[0]
+        if fullest is None or fullest <= target_rows or width <= 1_000_000:
+            return width
+        width = max(1_000_000, min(width // 2, width * target_rows // fullest))

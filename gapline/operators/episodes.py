@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gapline.functions.clock import cell, day_us, from_micros, micros, seconds_between
 from gapline.functions.scalar import signed_hms
-from gapline.operators.blocks import asof, block_rank, gap_cells
+from gapline.operators.blocks import asof, block_rank, gap_cells, measured_slice, range_block, running_sum
 
 
 def gap_episodes(
@@ -66,12 +67,13 @@ def pregnancy_index(bounds: DataFrame, keys: Sequence[str], start: str = "ep_sta
 
 
 def birth_index(
-    births: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = (), slice_us: int = 30 * day_us,
+    births: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = (), slice_us: int | None = None,
     out: str = "pregnancy_index",
 ) -> DataFrame:
     """Births numbered by time per entity; every child row counts."""
-    rows = births.filter(F.col(ts).isNotNull()).withColumn("_block", cell(micros(ts), slice_us))
-    return block_rank(rows, keys, "_block", [ts, *tie], out).drop("_block")
+    rows = births.filter(F.col(ts).isNotNull()).withColumn("_us", micros(ts))
+    rows = rows.withColumn("_block", cell("_us", slice_us or measured_slice(rows, keys, "_us", 365 * day_us)))
+    return block_rank(rows, keys, "_block", [ts, *tie], out).drop("_block", "_us")
 
 
 def static_index(
@@ -114,27 +116,27 @@ def _global_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Entities are cut into blocks by range; block totals are scanned, not the entities.
     """
-    from gapline.operators.blocks import running_sum
-
     lead = keys[0]
     if dict(counts.dtypes)[lead] in ("bigint", "int", "smallint", "tinyint"):
-        from gapline.operators.blocks import range_block
-
         blocked = range_block(counts, lead)
     else:
-        # text keys: their first characters follow the sort order
-        blocked = counts.withColumn("_block", F.substring(F.col(lead), 1, 3))
+        # text keys: the characters after their common start follow the sort order
+        low, high = counts.agg(F.min(lead), F.max(lead)).first()
+        common = len(os.path.commonprefix([low or "", high or ""]))
+        blocked = counts.withColumn("_block", F.substring(F.col(lead), 1, common + 3))
     summed = running_sum(blocked, [], "_block", list(keys), {"_upto": "_n"})
     return summed.withColumn("_offset", F.col("_upto") - F.col("_n")).drop("_upto", "_block")
 
 
 def match_births(
     bounds: DataFrame, births: DataFrame, keys: Sequence[str], birth: str = "birth_datetime",
-    start: str = "ep_start", end: str = "ep_end", slice_us: int = 30 * day_us,
+    start: str = "ep_start", end: str = "ep_end", slice_us: int | None = None,
 ) -> DataFrame:
     """Each episode with its birth: the first one inside, else the one nearest to the start (ties: the later)."""
     own = births.filter(F.col(birth).isNotNull()).select(*keys, micros(birth).alias("_b"))
     rows = bounds.withColumn("_s", micros(start)).withColumn("_e", micros(end))
+    # episodes of an entity are few, births decide the width
+    slice_us = slice_us or measured_slice(own, keys, "_b", 30 * day_us)
     rows = asof(rows, own, keys, "_s", "_b", ["_b"], "_after", slice_us, forward=True)
     rows = asof(rows, own, keys, "_s", "_b", ["_b"], "_before", slice_us, strict=True)
     after, before = F.col("_after._b"), F.col("_before._b")
@@ -163,7 +165,7 @@ def add_birth_distance(rows: DataFrame, ts: str, birth: str = "birth_datetime")
 
 def contain_in_episode(
     rows: DataFrame, bounds: DataFrame, keys: Sequence[str], ts: str, payload: Sequence[str],
-    start: str = "ep_start", end: str = "ep_end", slice_us: int = 183 * day_us,
+    start: str = "ep_start", end: str = "ep_end", slice_us: int | None = None,
 ) -> DataFrame:
     """Rows with the payload of the episode whose closed interval holds them, else nulls."""
     spans = bounds.withColumn("_start", micros(start)).withColumn("_end", micros(end))

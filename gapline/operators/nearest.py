@@ -6,20 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gapline.functions.clock import cell, day_us, from_micros, micros
-from gapline.operators.blocks import asof, neighbours
+from gapline.functions.clock import cell, from_micros, micros
+from gapline.operators.blocks import asof, measured_slice, neighbours
 
 
 def nearest_other_row(
     df: DataFrame, keys: Sequence[str], ts: str, source: Sequence[str], target: Sequence[str],
-    slice_us: int = day_us,
+    slice_us: int | None = None,
 ) -> DataFrame:
     """Each row with the target columns of the nearest other row of its key (ties: the earlier).
 
     Times are unique per key.  Rows without another row, and rows whose match has no
     target value, are dropped.
     """
-    rows = df.filter(F.col(ts).isNotNull()).withColumn("_t", micros(ts)).withColumn("_s", cell("_t", slice_us))
+    rows = df.filter(F.col(ts).isNotNull()).withColumn("_t", micros(ts))
+    rows = rows.withColumn("_s", cell("_t", slice_us or measured_slice(rows, keys, "_t")))
     named = {c: f"_t_{i}" for i, c in enumerate(target)}
     rows = rows.select(*keys, ts, "_t", "_s", *source, *[F.col(c).alias(n) for c, n in named.items()])
     rows = neighbours(rows, keys, "_s", "_t", ["_t", *named.values()])
@@ -36,7 +37,7 @@ def nearest_other_row(
 
 def latest_within(
     snapshots: DataFrame, events: DataFrame, keys: Sequence[str], at: str, event_time: str, tolerance_us: int,
-    out: str = "trigger_dose_time", slice_us: int = day_us,
+    out: str = "trigger_dose_time", slice_us: int | None = None,
 ) -> DataFrame:
     """Snapshots with the newest event at or before them, if it is not older than the tolerance (closed)."""
     left = snapshots.withColumn("_t", micros(at))

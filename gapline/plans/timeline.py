@@ -65,7 +65,7 @@ def births(newborns: DataFrame) -> DataFrame:
 
 def build_timeline(
     vitals: DataFrame, labs: DataFrame, drugs: DataFrame, births: DataFrame, gap_us: int = 183 * day_us,
-    near_us: int = second_us, birth_slice_us: int = 30 * day_us, names: Sequence[str] = VITALS,
+    near_us: int = second_us, names: Sequence[str] = VITALS,
     work: str | None = None, force: bool = False,
 ) -> Timeline:
     """Wide tables to one timeline: merge, episodes, births, column kinds, near-duplicate collapse.
@@ -80,7 +80,7 @@ def build_timeline(
     merged = merged.withColumn(ENTITY, F.col(ENTITY).cast("string")).filter(F.col(TS).isNotNull())
     merged = step("merged", merged)
     bounds = ep.gap_episode_bounds(merged, [ENTITY], TS, gap_us)
-    bounds = step("bounds", ep.match_births(bounds, births, [ENTITY], slice_us=birth_slice_us))
+    bounds = step("bounds", ep.match_births(bounds, births, [ENTITY]))
     rows = ep.gap_episodes(merged, [ENTITY], TS, gap_us)
     rows = step("aligned", ep.attach_birth(rows, bounds, [ENTITY], TS))
     keys = [ENTITY, TS, "birth_datetime", "t_from_birth_sec", "t_from_birth_str", "episode_idx"]

@@ -122,7 +122,7 @@ matched AS (SELECT user_id, episode_idx, ep_start, ep_end, b AS birth_datetime F
 @query("J03", f"WITH {BIRTH_SQL} SELECT * FROM matched")
 def nearest_anchor(spark, d):
     """Episode to birth: the first one inside, else the nearest."""
-    return ep.match_births(event_bounds(spark, d), anchors(spark, d), KEY, slice_us=day_us)
+    return ep.match_births(event_bounds(spark, d), anchors(spark, d), KEY)
 
 
 @query("J02 J04 P27 P28", f"""WITH {BIRTH_SQL},
@@ -135,7 +135,7 @@ SELECT event_id, user_id, episode_idx, birth_datetime, s AS t_from_birth_sec,
     round_even(abs(s) - 3600 * h - 60 * m, 1)) AS t_from_birth_str FROM p""")
 def birth_aligned_timeline(spark, d):
     rows = ep.gap_episodes(events(spark, d), KEY, "ts", day_us)
-    bounds = ep.match_births(event_bounds(spark, d), anchors(spark, d), KEY, slice_us=day_us)
+    bounds = ep.match_births(event_bounds(spark, d), anchors(spark, d), KEY)
     out = ep.attach_birth(rows, bounds, KEY, "ts")
     return out.select(
         "event_id", "user_id", "episode_idx", "birth_datetime",
@@ -148,7 +148,7 @@ SELECT e.event_id FROM ep e JOIN matched m ON m.user_id = e.user_id AND m.episod
 WHERE epoch_us(e.ts) - epoch_us(m.birth_datetime) BETWEEN -24 * 3600000000 AND 48 * 3600000000""")
 def prune_around_birth(spark, d):
     rows = ep.gap_episodes(events(spark, d), KEY, "ts", day_us)
-    bounds = ep.match_births(event_bounds(spark, d), anchors(spark, d), KEY, slice_us=day_us)
+    bounds = ep.match_births(event_bounds(spark, d), anchors(spark, d), KEY)
     return ep.prune_around_birth(ep.attach_birth(rows, bounds, KEY, "ts"), 24, 48).select("event_id")
 
 
@@ -169,7 +169,7 @@ LEFT JOIN bounds b ON b.user_id = p.user_id AND p.at BETWEEN b.ep_start AND b.ep
 def interval_containment(spark, d):
     """Shifted event times against the closed episode intervals."""
     probe = events(spark, d).select("event_id", "user_id", (F.col("ts") + F.expr("INTERVAL 13 HOUR")).alias("at"))
-    return ep.contain_in_episode(probe, event_bounds(spark, d), KEY, "at", ["episode_idx"], slice_us=day_us)
+    return ep.contain_in_episode(probe, event_bounds(spark, d), KEY, "at", ["episode_idx"])
 
 
 @query("J06", """
@@ -394,7 +394,7 @@ def timeline_build(spark, d):
     measurements, labs, drugs, children = raw_tables(spark, d)
     built = flow.build_timeline(
         flow.vitals_wide(measurements, "event_id"), flow.labs_wide(labs, "event_id"), flow.drugs_wide(drugs),
-        flow.births(children), day_us, hour_us, day_us, work=shared_folder(spark),
+        flow.births(children), day_us, hour_us, work=shared_folder(spark),
     )
     return built.rows.select(
         "hashed_mother_id", "event_time_abs", "birth_datetime", "t_from_birth_sec", "episode_idx", "sistol", "pulse",
