@@ -212,3 +212,18 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     for part in parts[1:]:
         result = result.unionByName(part, allowMissingColumns=True)
     return result
+
+
+def sorted_positions(df: DataFrame, keys: Sequence[str], ts: str, seq: str, out: str = "position") -> DataFrame:
+    """Rows numbered in stable (key, time, input) order over the whole table, without one global sort."""
+    from gapline.operators.blocks import block_rank, measured_slice
+
+    rows = df.withColumn("_us", micros(ts))
+    width = measured_slice(rows, keys, "_us")
+    block = F.struct(*keys, cell("_us", width).alias("_s"))
+    return block_rank(rows.withColumn("_block", block), [], "_block", ["_us", seq], out).drop("_us", "_block")
+
+
+def sort_rows(df: DataFrame, keys: Sequence[str], ts: str, seq: str | None = None) -> DataFrame:
+    """Stable (key, time) order for a sink; ranges of the order go to different tasks."""
+    return df.orderBy(*keys, ts, *([seq] if seq else []))

@@ -400,3 +400,9 @@ def timeline_build(spark, d):
         "hashed_mother_id", "event_time_abs", "birth_datetime", "t_from_birth_sec", "episode_idx", "sistol", "pulse",
         "HGB_BLOOD", "OXYTOCIN",
     )
+
+
+@query("O01", "SELECT event_id, user_id, row_number() OVER (ORDER BY user_id, ts, event_id) AS position FROM events")
+def sorted_timeline(spark, d):
+    rows = reshape.sort_rows(events(spark, d), KEY, "ts", "event_id")
+    return reshape.sorted_positions(rows, KEY, "ts", "event_id").select("event_id", "user_id", "position")
