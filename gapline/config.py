@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from gapline.functions.clock import day_us, hour_us, minute_us
 
-# ------------------------------------------------------------------ fixed values
+# ------------------------------------------------------------------ fixed values: names, words and ranges of the data model
 ENTITY = "hashed_mother_id"
 VITALS = ("BP - Mean", "diastol", "sistol", "saturation", "heat", "pulse")
 MEASUREMENTS = ("sistol", "diastol", "BP - Mean", "saturation", "heat", "pulse")
@@ -76,7 +76,7 @@ DERIVED_PLAUSIBLE = {"MAP": (40, 170), "SI": (0.2, 3.5), "PP": (10, 150)}
 
 YES_TOKEN, NO_TOKEN = "כן", "לא"
 
-# columns of the static table
+# fixed values: columns of the static table
 BINARY_STATIC = (
     "anesthesia_local", "anesthesia_epidural", "anesthesia_general", "anesthesia_spinal", "no_anesthesia",
     "birth_start_spontaneous", "birth_start_cesarean", "birth_start_labor_induction", "birth_start_augmentation",
@@ -147,7 +147,7 @@ class SequenceSettings:
 
 @dataclass(frozen=True)
 class ColumnSettings:
-    """Which feature columns reach the model matrix."""
+    """Which feature columns reach the model matrix; the name parts are fixed values."""
 
     realtime_patterns: tuple[str, ...] = (
         "sistol", "diastol", "bp - mean", "map", "pulse", "saturation", "heat", "shock_index", "si_", "shockindex",

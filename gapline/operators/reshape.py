@@ -11,11 +11,17 @@ from gapline.functions.scalar import contains_any  # noqa: F401  (re-exported fo
 from gapline.operators.blocks import gap_cells
 
 
+MOST_COLUMNS = 10_000
+
+
 def _names(df: DataFrame, name: str, values: Sequence[str] | None) -> list[str]:
-    """Declared pivot values, or one distinct pass over the name column."""
+    """Declared pivot values, or one distinct pass over the name column (a bounded number of columns)."""
     if values is not None:
         return list(values)
-    return [row[0] for row in df.select(name).filter(F.col(name).isNotNull()).distinct().orderBy(name).collect()]
+    names = df.select(name).filter(F.col(name).isNotNull()).distinct().limit(MOST_COLUMNS + 1).collect()
+    if len(names) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} values of {name} would become columns")
+    return sorted(row[0] for row in names)
 
 
 def pivot_last(
