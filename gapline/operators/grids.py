@@ -210,8 +210,8 @@ def window_medians(
 
     Samples are first counted per (pane, float value).  The counts move to blocks of as
     many grid points as the widest window has steps, so each goes to two or three
-    blocks; windows are formed inside the block and sort their distinct values (sort
-    and spill, no per-window state in memory).  With masked signals the distinct float
+    blocks.  Inside the block, values without enough others around them are left out, and
+    windows sort their distinct values (sort and spill, no per-window state in memory).  With masked signals the distinct float
     values of a window are bounded by the plausible range.
     """
     group = [*keys, signal]
@@ -230,9 +230,16 @@ def window_medians(
     rows = rows.withColumn("_block", F.explode(blocks)).repartition(*group, "_block")
     begin = F.greatest(_point(code), F.col("_block") * span)
     end = F.least(F.col("_last"), F.col("_block") * span + (span - 1))
-    targets = [
-        _tagged(_points(begin, F.least(_reach(code, width, closed), end)), scope) for scope, width in windows.items()
-    ]
+    least = max(2, min_samples)
+    by_code = Window.partitionBy(*group, "_block").orderBy("_c")
+    none = F.array().cast("array<struct<scope:string,i:bigint>>")
+    targets = []
+    for scope, width in windows.items():
+        # values with too few others around them are in no window that has a median
+        around = F.sum("_n").over(by_code.rangeBetween(-2 * width, 2 * width))
+        rows = rows.withColumn(f"_near_{scope}", around)
+        own = _tagged(_points(begin, F.least(_reach(code, width, closed), end)), scope)
+        targets.append(F.when(F.col(f"_near_{scope}") >= least, own).otherwise(none))
     rows = rows.select(*group, "_block", F.explode(F.concat(*targets)).alias("_w"), "_v", "_n").select(
         *group, "_block", "_w.scope", "_w.i", "_v", "_n"
     )
@@ -253,7 +260,7 @@ def window_medians(
         at_high = F.max(F.when(here & holds(high), F.col("_v")))
         return ((at_low + at_high) / 2).alias(f"{scope}_median")
 
-    picked = rows.filter((F.col("_all") >= max(2, min_samples)) & (holds(low) | holds(high)))
+    picked = rows.filter((F.col("_all") >= least) & (holds(low) | holds(high)))
     return picked.groupBy(*group, "_block", "i").agg(*[middle(scope) for scope in windows]).drop("_block")
 
 
