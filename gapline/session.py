@@ -48,11 +48,18 @@ def local_session(app: str = "gapline", cpus: str | None = None) -> SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; a temporary one only where none is set."""
+    """A new folder below the cluster's checkpoint folder.
+
+    The folder is the setting `spark.checkpoint.dir`.  Where it is unset, a run on one machine gets a temporary folder;
+    on a cluster that is an error, as executors would not see each other's files.
+    """
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/gapline-{uuid.uuid4().hex}"
