@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapline.llm import chat
-from gapline.llm.common import prepare, table
+from gapline.llm import chat, secret_scan, sharding
+from gapline.llm.common import Steps, prepare, table
 from gapline.session import configure
 
 QUERIES: dict = {}
@@ -53,3 +53,51 @@ def op8_chat_round_trip(spark, sf_dir):
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
     )
     return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
+
+
+@query()
+def op2_shards(spark, sf_dir):
+    """Sixteen shards of near equal bytes; equal texts stay together."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    rows = sharding.shard(Steps(spark), docs, leaves=16)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(lang, '') AS lang FROM documents),
+p AS (
+  SELECT 0 AS k, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+' AS pat
+  UNION ALL SELECT 1, 'AKIA[A-Z0-9]+' UNION ALL SELECT 2, '[0-9a-f]+' UNION ALL SELECT 3, '[A-Za-z0-9+/_-]+'
+), m AS (
+  SELECT doc_id, owner, lang, k, regexp_extract_all(text, pat) AS ms, string_split_regex(text, pat) AS gs FROM d, p
+), f AS (
+  SELECT doc_id, owner, lang, k, unnest(ms) AS s, unnest(gs[:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM m WHERE len(ms) > 0
+), o AS (
+  SELECT *, length(g) + coalesce(sum(length(g) + length(s)) OVER (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
+    CASE WHEN k = 0 THEN regexp_extract(s, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1) ELSE s END AS v
+  FROM f
+), c AS (
+  SELECT *, len(list_distinct(string_split(v, ''))) >= 8 AND length(v) >= 16 AS live FROM o
+  WHERE CASE k WHEN 0 THEN length(v) >= 6 WHEN 1 THEN length(s) >= 20 WHEN 2 THEN length(s) >= 24
+    ELSE length(s) >= 16 AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') END
+), w AS (SELECT v AS value, count(DISTINCT owner) AS owners FROM c GROUP BY v),
+r AS (
+  SELECT doc_id, k, a::BIGINT AS a, live AND owners <= 2 AS own,
+    ['assign', 'access', 'hex', 'owned'][k + 1] || ':' || a::BIGINT || ':' || (a + length(s))::BIGINT AS t
+  FROM c JOIN w ON value = v WHERE k < 3 OR (live AND owners <= 2)
+), g AS (
+  SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+    string_agg(t, ',' ORDER BY a, k) FILTER (WHERE k < 3) AS base, string_agg(t, ',' ORDER BY a, k) AS spans,
+    count(*) FILTER (WHERE k = 3) AS n_owned, count(*) FILTER (WHERE k < 3 AND own) AS n_live_base
+  FROM r GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_live_base, 0) AS n_live_base
+FROM d LEFT JOIN g USING (doc_id)
+""")
+def op9_secret_ownership(spark, sf_dir):
+    """Secrets of all documents, with owner-specific tokens added."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return secret_scan.per_document(secret_scan.scan(Steps(spark), docs))
