@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gapline.session import shared_folder
 
@@ -35,6 +38,43 @@ class Steps:
         return self.spark.read.parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def text_bytes(column: pa.Array) -> list[bytes]:
+    """UTF-8 of each text, a null as the empty text."""
+    return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
+
+
+def add_struct(df: DataFrame, text: str, name: str, fields: str, compute: Callable[..., list[list]], earlier: str | None = None) -> DataFrame:
+    """Add one struct column that `compute` makes from the texts of a batch: one list per field.
+
+    The other columns pass through untouched, in the batches as they come: no shuffle, one batch in memory.  `earlier`
+    names a struct column that `compute` gets as well (a list of dicts) and that the new column replaces.
+    """
+    kind = T.StructType.fromDDL(fields)
+    columns = [c for c in df.columns if c != earlier]
+    spark_type = T.StructType([*[df.schema[c] for c in columns], T.StructField(name, kind, False)])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in kind]
+        names = [f.name for f in kind]
+        for batch in batches:
+            texts = text_bytes(batch.column(text))
+            made = compute(texts, batch.column(earlier).to_pylist()) if earlier else compute(texts)
+            parts = [pa.array(values, t) for values, t in zip(made, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in columns], pa.StructArray.from_arrays(parts, names)], [*columns, name]
+            )
+
+    return df.mapInArrow(run, spark_type)
+
+
 def typed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Columns in this order with these types."""
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])

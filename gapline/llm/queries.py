@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapline.llm import chat, secret_scan, sharding
+from gapline.llm import chat, decontaminate, line_dedup, secret_scan, sharding
 from gapline.llm.common import Steps, prepare, table
 from gapline.session import configure
 
@@ -101,3 +101,56 @@ def op9_secret_ownership(spark, sf_dir):
     """Secrets of all documents, with owner-specific tokens added."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return secret_scan.per_document(secret_scan.scan(Steps(spark), docs))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+w AS (
+  SELECT doc_id, i - 1 AS pos, lines[i:i + 2] AS win
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM l WHERE len(lines) >= 3)
+  WHERE regexp_matches(array_to_string(lines[i:i + 2], ''), '[^\x20\x09-\x0D]')
+), r AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS nth FROM w),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM r, (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1),
+x AS (SELECT doc_id, line, i - 1 AS pos FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n FROM x ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, len(l.lines) AS n_lines, len(l.lines) - coalesce(k.n, 0) AS n_removed, coalesce(k.text, '') AS text
+FROM documents d JOIN l USING (doc_id) LEFT JOIN kept k USING (doc_id)
+""")
+def op5_line_windows(spark, sf_dir):
+    """All documents without the later occurrences of repeated three-line windows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = line_dedup.dedup_lines(Steps(spark), docs)
+    return rows.select("doc_id", "lines.n_lines", "lines.n_removed", "text")
+
+
+@query(r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), bw AS (
+  SELECT DISTINCT item, len(w[i:i + 12]) AS n, array_to_string(w[i:i + 12], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
+), h AS (SELECT doc_id, item, i, n FROM dw JOIN bw USING (n, win)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM h GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+""")
+def op7_benchmark_overlap(spark, sf_dir):
+    """Benchmark windows in all documents, by a suffix automaton of the items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"))
+    hit = decontaminate.n_hit(F.col("found"))
+    return rows.select(
+        "doc_id", "found.n_words", hit.alias("n_hit"), F.size("found.items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("found"), hit).alias("contaminated"),
+    )
