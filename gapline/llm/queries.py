@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapline.llm import chat, decontaminate, line_dedup, secret_scan, sharding
+from gapline.llm import chat, decontaminate, line_dedup, quality, secret_scan, sharding
 from gapline.llm.common import Steps, prepare, table
 from gapline.session import configure
 
@@ -154,3 +154,18 @@ def op7_benchmark_overlap(spark, sf_dir):
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
         decontaminate.contaminated(F.col("found"), hit).alias("contaminated"),
     )
+
+
+@query()
+def op6_risk_controlled_rules(spark, sf_dir):
+    """Counts of all documents and the verdict of base rules and risk-controlled cutoffs."""
+    docs = table(spark, sf_dir, "documents")
+    steps = Steps(spark)
+    slim = docs.select("doc_id", "text", quality.stratum_of(docs).alias("stratum"))
+    measured = steps.store(quality.measure(slim, "m").select("doc_id", "stratum", "m"))
+    limits = steps.store(quality.cutoffs(measured, table(spark, sf_dir, "labels")))
+    rows = quality.judge(measured, limits, F.col("stratum"), F.col("m"), "rules")
+    return rows.select(
+        "doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
+        quality.base_failed(F.col("m")).alias("base_failed"), (F.size("rules") == 0).alias("kept"), F.array_join("rules", ",").alias("rules"),
+    )
