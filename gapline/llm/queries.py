@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapline.llm import chat, decontaminate, line_dedup, quality, secret_scan, sharding
+from gapline.llm import chat, decontaminate, line_dedup, quality, secret_scan, sharding, simhash
 from gapline.llm.common import Steps, prepare, table
 from gapline.session import configure
 
@@ -169,3 +169,10 @@ def op6_risk_controlled_rules(spark, sf_dir):
         "doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
         quality.base_failed(F.col("m")).alias("base_failed"), (F.size("rules") == 0).alias("kept"), F.array_join("rules", ",").alias("rules"),
     )
+
+
+@query()
+def op3_simhash_components(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    rows = simhash.near_duplicates(Steps(spark), table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
