@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from gapline.session import shared_folder
 
 #: Batches handed to Python stay small, also for long texts.
-ARROW_ROWS = 1000
+ARROW_ROWS = 256
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
 

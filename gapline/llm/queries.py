@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapline.llm import chat, decontaminate, line_dedup, quality, secret_scan, sharding, simhash
+from gapline.llm import chat, decontaminate, line_dedup, quality, secret_scan, sharding, simhash, token_files
 from gapline.llm.common import Steps, prepare, table
 from gapline.session import configure
 
@@ -176,3 +177,12 @@ def op3_simhash_components(spark, sf_dir):
     """Fingerprint and near-duplicate component of every document."""
     rows = simhash.near_duplicates(Steps(spark), table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op4_token_files(spark, sf_dir):
+    """Token-id files of all documents, written and read back."""
+    steps = Steps(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_files.write(spark, docs, f"{steps.folder}/tokens", public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_index(spark, f"{steps.folder}/tokens")
