@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapline.llm import chat, decontaminate, line_dedup, quality, secret_scan, sharding, simhash, token_files
+from gapline.llm import chat, decontaminate, line_dedup, quality, secret_scan, sentencepiece_bridge, sharding, simhash, token_files
 from gapline.llm.common import Steps, prepare, table
 from gapline.session import configure
 
@@ -186,3 +186,11 @@ def op4_token_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     token_files.write(spark, docs, f"{steps.folder}/tokens", public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_index(spark, f"{steps.folder}/tokens")
+
+
+@query()
+def op10_sentencepiece_bridge(spark, sf_dir):
+    """All documents encoded and decoded by the rebuilt SentencePiece model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = sentencepiece_bridge.encode(docs, "pieces", public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "pieces.*")

@@ -49,7 +49,7 @@ _STRETCH = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+
 #: Two white-space characters in a row, or one that is neither a space nor a newline.
 _UNUSUAL = re.compile(r"[ \n][ \n]|[\t\r\x0b\x0c]")
 #: White space beyond ASCII, and the controls that only Python takes for it.
-_WIDE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+_WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Encoder:
