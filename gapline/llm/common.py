@@ -37,6 +37,13 @@ class Steps:
         df.write.parquet(path)
         return self.spark.read.parquet(path)
 
+    def drop(self, stored: DataFrame) -> None:
+        """Delete a stored step that nothing reads any more."""
+        for file in {f.rsplit("/", 1)[0] for f in stored.inputFiles()}:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
+            if self.folder.rsplit("/", 1)[-1] in file:
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def free_name(df: DataFrame, name: str) -> str:
     while name in df.columns:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapline.llm import chat, decontaminate, line_dedup, quality, secret_scan, sentencepiece_bridge, sharding, simhash, token_files
+from gapline.llm import chat, decontaminate, line_dedup, quality, secret_scan, sentencepiece_bridge, sharding, simhash, substring_dedup, token_files
 from gapline.llm.common import Steps, prepare, table
 from gapline.session import configure
 
@@ -194,3 +194,9 @@ def op10_sentencepiece_bridge(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = sentencepiece_bridge.encode(docs, "pieces", public_tokenizers.path("piece_bpe_32k.model"))
     return rows.select("doc_id", "pieces.*")
+
+
+@query()
+def op1_repeated_passages(spark, sf_dir):
+    """Class and repeated passages of every document."""
+    return substring_dedup.classes(Steps(spark), table(spark, sf_dir, "documents").select("doc_id", "text"))
