@@ -52,17 +52,17 @@ def later_windows(steps, docs: DataFrame) -> DataFrame:
 def dedup_lines(steps, docs: DataFrame) -> DataFrame:
     """All rows and columns of `docs` with the lines removed from `text`, and a struct column `lines` with
     n_lines, n_removed (null text: 0)."""
-    covered = later_windows(steps, docs).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("_at"))
-    out, hashed = free_name(docs, "lines"), free_name(docs, "_text_hash")
-    covered = covered.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    out, hashed, at, its_id, its_hash = (free_name(docs, n) for n in ("lines", "_text_hash", "_at", "_id", "_hash"))
+    covered = later_windows(steps, docs).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias(at))
+    covered = covered.withColumnsRenamed({"doc_id": its_id, "text_hash": its_hash})
     rows = docs.withColumn(hashed, F.xxhash64("text"))
-    rows = rows.join(covered, same(rows["doc_id"], covered["_id"]) & (rows[hashed] == covered["_hash"]), "left")
+    rows = rows.join(covered, same(rows["doc_id"], covered[its_id]) & (rows[hashed] == covered[its_hash]), "left")
     lines = F.split("text", "\n", -1)
-    gone = F.flatten(F.transform("_at", lambda a: F.array(*[a + k for k in range(WIDTH)])))
+    gone = F.flatten(F.transform(at, lambda a: F.array(*[a + k for k in range(WIDTH)])))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)  # by hash, so linear in the lines
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
-    removed = F.when(F.col("_at").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("bigint")
-    text = F.when(F.col("_at").isNull(), F.col("text")).otherwise(
+    removed = F.when(F.col(at).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("bigint")
+    text = F.when(F.col(at).isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     )
     return rows.select(

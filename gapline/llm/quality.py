@@ -156,12 +156,12 @@ def cutoffs(
 def judge(rows: DataFrame, limits: DataFrame, stratum: Column, m: Column, out: str) -> DataFrame:
     """Add the array of rules that reject a row: empty where it is kept.  `limits` is one row per stratum and rule
     and is spread to one row per stratum."""
-    wide = limits.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_limits"))
-    wide = wide.withColumnRenamed("stratum", "_stratum")
-    joined = rows.join(wide, stratum == F.col("_stratum"), "left")
-    broken = [F.when(score(m) > F.col("_limits")[rule], F.lit(rule)) for rule, (score, _) in RULES.items()]
+    limit, name = free_name(rows, "_limits"), free_name(rows, "_stratum")
+    wide = limits.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias(limit))
+    joined = rows.join(wide.withColumnRenamed("stratum", name), stratum == F.col(name), "left")
+    broken = [F.when(score(m) > F.col(limit)[rule], F.lit(rule)) for rule, (score, _) in RULES.items()]
     rules = F.when(base_failed(m), F.array(F.lit("base"))).otherwise(F.array_compact(F.array(*broken)))
-    return joined.withColumn(out, rules).drop("_stratum", "_limits")
+    return joined.withColumn(out, rules).drop(name, limit)
 
 
 def stratum_of(docs: DataFrame, column: str = "lang") -> Column:

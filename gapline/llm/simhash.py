@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gapline.llm.common import add_struct
+from gapline.llm.common import add_struct, free_name, same
 from gapline.llm.graph import components
 
 DISTANCE = 3
@@ -309,9 +309,9 @@ def stage(steps, docs: DataFrame) -> DataFrame:
     found = near_duplicates(steps, docs)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
+    its_id, its_hash = free_name(docs, "_id"), free_name(docs, "_hash")
     kept = found.groupBy(group.alias("g")).agg(F.min(key).alias("k")).select(
-        F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")
+        F.col("k.doc_id").alias(its_id), F.col("k.text_hash").alias(its_hash)
     )
-    hashed = F.xxhash64(docs["text"])
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")) & (hashed == F.col("_hash")))
-    return rows.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    rows = docs.join(kept, same(docs["doc_id"], kept[its_id]) & (F.xxhash64(docs["text"]) == kept[its_hash]))
+    return rows.dropDuplicates([its_id, its_hash]).select(*docs.columns)
