@@ -41,12 +41,38 @@ def one_row(df: DataFrame) -> Column:
     return df.select(F.struct(*[F.col(c) for c in df.columns])).scalar()
 
 
-def range_block(df: DataFrame, value: str, blocks: int = CELLS_PER_BLOCK, out: str = "_block") -> DataFrame:
-    """Equal-width blocks between the smallest and largest value of a column."""
+#: Ranges of an ordered table; each is one task of a running sum.
+RANGES = 256
+#: Values that choose the range boundaries of a text or mixed column.
+BOUNDARY_SAMPLE = 4096
+
+
+def range_block(df: DataFrame, value: str, blocks: int = RANGES, out: str = "_block") -> DataFrame:
+    """Blocks that follow the order of a numeric column and hold like numbers of rows, whatever its distribution.
+
+    Boundaries are approximate percentiles (a bounded sketch); nulls are in the first block.
+    """
     x = F.col(value).cast("double")
-    rows = df.withColumn("_ends", one_row(df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))))
-    at = F.floor(F.try_divide(x - F.col("_ends.lo"), F.col("_ends.hi") - F.col("_ends.lo")) * blocks)
-    return rows.withColumn(out, F.coalesce(F.least(at, F.lit(blocks - 1)), F.lit(0)).cast("int")).drop("_ends")
+    cuts = F.percentile_approx(x, F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), F.lit(10_000))
+    rows = df.withColumn("_cuts", one_row(df.agg(cuts.alias("at")))["at"])
+    block = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= x))
+    return rows.withColumn(out, block).drop("_cuts")
+
+
+def sampled_block(df: DataFrame, value: str, blocks: int = RANGES, out: str = "_block", sample: int = BOUNDARY_SAMPLE) -> DataFrame:
+    """Blocks that follow the order of any sortable column; the table has one row per value or few.
+
+    Boundaries come from the `sample` values with the smallest hashes, which are a random sample whatever the values
+    look like.  Nulls are in the first block.
+    """
+    x = F.col(value)
+    chosen = df.filter(x.isNotNull()).select(x.alias("v")).orderBy(F.xxhash64("v")).limit(sample).collect()
+    values = sorted({r["v"] for r in chosen})
+    cuts = sorted({values[len(values) * i // blocks] for i in range(1, blocks)}) if values else []
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    bounds = F.array(*[F.lit(c) for c in cuts])
+    return df.withColumn(out, F.size(F.filter(bounds, lambda c: c <= x)))
 
 
 def running_sum(
@@ -173,8 +199,12 @@ def gap_cells(df: DataFrame, keys: Sequence[str], ts: str, gap_us: int, at_equal
     """
     keys = list(keys)
     us = micros(ts)
+    # a row without a key belongs to no entity: it is left out, as one without a time is
+    known = F.col(ts).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
     cells = (
-        df.filter(F.col(ts).isNotNull())
+        df.filter(known)
         .select(*keys, us.alias("_us"))
         .withColumn("_cell", cell("_us", gap_us))
         .groupBy(*keys, "_cell")

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gapline.functions.clock import cell, day_us, from_micros, micros, seconds_between
 from gapline.functions.scalar import signed_hms
-from gapline.operators.blocks import asof, block_rank, gap_cells, measured_slice, range_block, running_sum
+from gapline.operators.blocks import asof, block_rank, gap_cells, measured_slice, running_sum, sampled_block
 
 
 def gap_episodes(
     df: DataFrame, keys: Sequence[str], ts: str, gap_us: int = 183 * day_us, at_equal: bool = False,
     out: str = "episode_idx",
 ) -> DataFrame:
-    """Rows with the 1-based number of their gap episode; rows without a time are dropped."""
+    """Rows with the 1-based number of their gap episode; rows without a key or a time are dropped."""
     keys = list(keys)
     cells = gap_cells(df, keys, ts, gap_us, at_equal).select(*keys, "_cell", F.col("idx").alias(out))
     rows = df.filter(F.col(ts).isNotNull()).withColumn("_cell", cell(micros(ts), gap_us))
@@ -27,7 +26,7 @@ def gap_episode_bounds(
     df: DataFrame, keys: Sequence[str], ts: str, gap_us: int = 183 * day_us, at_equal: bool = False,
     out: str = "episode_idx",
 ) -> DataFrame:
-    """First and last time of every gap episode, straight from the cells."""
+    """First and last time of every gap episode, straight from the cells; rows without a key or a time count nowhere."""
     cells = gap_cells(df, keys, ts, gap_us, at_equal)
     return (
         cells.groupBy(*keys, F.col("idx").alias(out))
@@ -39,7 +38,8 @@ def gap_episode_bounds(
 def episode_rows_with_bounds(
     df: DataFrame, keys: Sequence[str], ts: str, gap_us: int = 183 * day_us, out: str = "episode_idx"
 ) -> DataFrame:
-    """Rows with episode number, `ep_start_us` and `ep_end_us`; the rows move once."""
+    """Rows with episode number, `ep_start_us` and `ep_end_us`; the rows move once.  Rows without a key or a time are
+    dropped."""
     keys = list(keys)
     cells = gap_cells(df, keys, ts, gap_us)
     # an episode has at most one cell per gap width of its life
@@ -70,8 +70,8 @@ def birth_index(
     births: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = (), slice_us: int | None = None,
     out: str = "pregnancy_index",
 ) -> DataFrame:
-    """Births numbered by time per entity; every child row counts."""
-    rows = births.filter(F.col(ts).isNotNull()).withColumn("_us", micros(ts))
+    """Births numbered by time per entity; every child row counts.  Rows without a key or a time are dropped."""
+    rows = births.dropna(subset=[*keys, ts]).withColumn("_us", micros(ts))
     rows = rows.withColumn("_block", cell("_us", slice_us or measured_slice(rows, keys, "_us", 365 * day_us)))
     return block_rank(rows, keys, "_block", [ts, *tie], out).drop("_block", "_us")
 
@@ -81,12 +81,12 @@ def static_index(
 ) -> DataFrame:
     """Static rows numbered per entity by the order columns (nulls last), then by input order.
 
-    Blocks are the order values plus a stretch of the input order.
+    Rows without a key are dropped.  Blocks are the order values plus a stretch of the input order.
     """
     last = F.lit(float("inf"))
     levels = [F.coalesce(F.col(c).cast("double"), last).alias(f"o{i}") for i, c in enumerate(order)]
     block = F.struct(*levels, cell(F.col(seq).cast("long"), 1 << 20).alias("part"))
-    return block_rank(mothers.withColumn("_block", block), keys, "_block", seq, out).drop("_block")
+    return block_rank(mothers.dropna(subset=list(keys)).withColumn("_block", block), keys, "_block", seq, out).drop("_block")
 
 
 def delivery_episodes(
@@ -96,9 +96,10 @@ def delivery_episodes(
 
     Within an entity a new number starts where the next delivery is at least one gap
     after the previous one.  Rows without a delivery time stay in the entity's last
-    episode (its only one when no row has a delivery time).
+    episode (its only one when no row has a delivery time).  Rows without a key are dropped.
     """
     keys = list(keys)
+    df = df.dropna(subset=keys)
     cells = gap_cells(df, keys, delivery, gap_us, at_equal=True).select(*keys, "_cell", F.col("idx").alias("_local"))
     entities = df.select(*keys).distinct()
     counts = cells.groupBy(*keys).agg(F.max("_local").alias("_n"))
@@ -114,17 +115,9 @@ def delivery_episodes(
 def _global_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Episodes of all entities before each one, in key order.
 
-    Entities are cut into blocks by range; block totals are scanned, not the entities.
+    Entities are cut into ranges of like size; range totals are scanned, not the entities.
     """
-    lead = keys[0]
-    if dict(counts.dtypes)[lead] in ("bigint", "int", "smallint", "tinyint"):
-        blocked = range_block(counts, lead)
-    else:
-        # text keys: the characters after their common start follow the sort order
-        low, high = counts.agg(F.min(lead), F.max(lead)).first()
-        common = len(os.path.commonprefix([low or "", high or ""]))
-        blocked = counts.withColumn("_block", F.substring(F.col(lead), 1, common + 3))
-    summed = running_sum(blocked, [], "_block", list(keys), {"_upto": "_n"})
+    summed = running_sum(sampled_block(counts, keys[0]), [], "_block", list(keys), {"_upto": "_n"})
     return summed.withColumn("_offset", F.col("_upto") - F.col("_n")).drop("_upto", "_block")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapline.functions.scalar import hash_rank, matrix_float
 from gapline.operators.blocks import block_rank, exact_quantile, hash_block, one_row
@@ -155,28 +155,41 @@ def group_holdout(df: DataFrame, group: Sequence[str], fraction: float = 0.2, se
                   out: str = "is_validation") -> DataFrame:
     """0/1 column: whole groups go to validation, ceil(fraction * groups) of them and at least one.
 
-    With fewer than two groups nothing goes there.
+    With fewer than two groups nothing goes there.  A null in the group columns is a value like any other.
     """
-    groups = df.select(*group).distinct()
+    rows = df.withColumn("_group", _group_text(group))
+    groups = rows.select("_group", *group).dropDuplicates(["_group"])
     ranked = _hash_ranked(groups, [], group, seed, total="_groups")
     wanted = F.greatest(F.lit(1), F.ceil(F.col("_groups") * F.lit(float(fraction))))
-    chosen = ranked.select(*group, ((F.col("_groups") >= 2) & (F.col("_rank") <= wanted)).cast("int").alias(out))
-    return df.join(chosen, list(group))
+    chosen = ranked.select("_group", ((F.col("_groups") >= 2) & (F.col("_rank") <= wanted)).cast("int").alias(out))
+    return rows.join(chosen, "_group").drop("_group")
+
+
+def _group_text(group: Sequence[str]) -> Column:
+    """One text per group, also where a column is null."""
+    return F.to_json(F.struct(*[F.col(c).cast("string").alias(f"g{i}") for i, c in enumerate(group)]))
 
 
 def group_folds(df: DataFrame, group: Sequence[str], k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
     """Fold number per row; groups stay together and folds get groups of like sizes.
 
-    Groups are ranked by size (largest first) and dealt out back and forth.
+    Groups are ranked by size (largest first) and dealt out back and forth: groups of one size in hash blocks, after
+    the number of larger groups.  A null in the group columns is a value like any other.
     """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    sizes = sizes.withColumn("_hash", hash_rank(seed, *group))
-    sizes = sizes.withColumn("_block", F.struct((-F.col("_size")).alias("s"), hash_block("_hash").alias("h")))
-    ranked = block_rank(sizes, [], "_block", ["_hash", *group], "_rank")
+    rows = df.withColumn("_group", _group_text(group))
+    sizes = rows.groupBy("_group", *group).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = sizes.withColumn("_hash", hash_rank(seed, *group)).withColumn("_block", hash_block("_hash"))
+    # one row per distinct size
+    larger = Window.orderBy(F.desc("_size")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("_many")).select(
+        "_size", F.coalesce(F.sum("_many").over(larger), F.lit(0)).alias("_larger")
+    )
+    ranked = block_rank(sizes, ["_size"], "_block", ["_hash", *group], "_inside").join(before, "_size")
+    ranked = ranked.withColumn("_rank", F.col("_inside") + F.col("_larger"))
     at = F.pmod(F.col("_rank") - 1, F.lit(k))
     round_ = F.floor((F.col("_rank") - 1) / k)
     fold = F.when(F.pmod(round_, F.lit(2)) == 0, at).otherwise(k - 1 - at)
-    return df.join(ranked.select(*group, fold.cast("int").alias(out)), list(group))
+    return rows.join(ranked.select("_group", fold.cast("int").alias(out)), "_group").drop("_group")
 
 
 def dataset_summary(df: DataFrame, entity: str, episode: Sequence[str], label: str) -> DataFrame:

@@ -7,53 +7,58 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gapline.functions.clock import cell, from_micros, micros, second_us
-from gapline.functions.scalar import contains_any  # noqa: F401  (re-exported for callers of pivot_flags)
-from gapline.operators.blocks import gap_cells
-
-
-MOST_COLUMNS = 10_000
-
-
-def _names(df: DataFrame, name: str, values: Sequence[str] | None) -> list[str]:
-    """Declared pivot values, or one distinct pass over the name column (a bounded number of columns)."""
-    if values is not None:
-        return list(values)
-    names = df.select(name).filter(F.col(name).isNotNull()).distinct().limit(MOST_COLUMNS + 1).collect()
-    if len(names) > MOST_COLUMNS:
-        raise ValueError(f"more than {MOST_COLUMNS} values of {name} would become columns")
-    return sorted(row[0] for row in names)
+from gapline.functions.scalar import safe_name
+from gapline.operators.blocks import block_rank, gap_cells, measured_slice, running_sum, sampled_block
 
 
 def pivot_last(
     df: DataFrame, keys: Sequence[str], name: str, value: str, seq: str, values: Sequence[str] | None = None
 ) -> DataFrame:
-    """Wide rows per key; of several values of one cell the last in `seq` order stays (null included)."""
-    names = _names(df, name, values)
-    cells = df.filter(F.col(name).isin(names)).groupBy(*keys, name).agg(F.max_by(value, F.col(seq)).alias("_v"))
-    return _spread(cells, keys, name, names)
+    """Wide rows per key; of several values of one cell the last in `seq` order stays (null included).
+
+    The declared `values` become columns; without them all names go into one map column `cells`, and no name reaches
+    the driver.
+    """
+    cells = _declared(df, name, values).groupBy(*keys, name).agg(F.max_by(value, F.col(seq)).alias("_v"))
+    return _spread(cells, keys, name, values)
 
 
 def pivot_first(
     df: DataFrame, keys: Sequence[str], name: str, value: str, seq: str, values: Sequence[str] | None = None
 ) -> DataFrame:
-    """Wide rows per key; the first non-null value of a cell in `seq` order stays."""
-    names = _names(df, name, values)
+    """Wide rows per key; the first non-null value of a cell in `seq` order stays.  Columns as in `pivot_last`."""
     order = F.when(F.col(value).isNotNull(), F.col(seq))
-    cells = df.filter(F.col(name).isin(names)).groupBy(*keys, name).agg(F.min_by(value, order).alias("_v"))
-    return _spread(cells, keys, name, names)
+    cells = _declared(df, name, values).groupBy(*keys, name).agg(F.min_by(value, order).alias("_v"))
+    return _spread(cells, keys, name, values)
 
 
 def pivot_flags(df: DataFrame, keys: Sequence[str], name: str, values: Sequence[str] | None = None) -> DataFrame:
-    """Wide 0/1 columns: 1 where the key has a row with that name."""
-    names = _names(df, name, values)
-    rows = df.filter(F.col(name).isin(names))
-    return rows.groupBy(*keys).agg(*[F.max((F.col(name) == n).cast("int")).alias(n) for n in names])
+    """Wide 0/1 columns: 1 where the key has a row with that name; without declared values a map `cells` of ones."""
+    rows = _declared(df, name, values)
+    if values is None:
+        return _spread(rows.select(*keys, name).distinct().withColumn("_v", F.lit(1)), keys, name, None)
+    return rows.groupBy(*keys).agg(*[F.max((F.col(name) == n).cast("int")).alias(n) for n in values])
+
 
+def _declared(df: DataFrame, name: str, values: Sequence[str] | None) -> DataFrame:
+    return df.filter(F.col(name).isNotNull() if values is None else F.col(name).isin(list(values)))
 
-def _spread(cells: DataFrame, keys: Sequence[str], name: str, names: Sequence[str]) -> DataFrame:
+
+def _spread(cells: DataFrame, keys: Sequence[str], name: str, names: Sequence[str] | None) -> DataFrame:
+    if names is None:
+        return cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(name, "_v"))).alias("cells"))
     return cells.groupBy(*keys).agg(*[F.max(F.when(F.col(name) == n, F.col("_v"))).alias(n) for n in names])
 
 
+def assert_distinct_names(df: DataFrame, name: str) -> DataFrame:
+    """The table itself, or an error with two source names that become the same column name."""
+    safe = df.select(F.col(name).alias("_raw"), safe_name(name).alias("_safe"))
+    bad = safe.groupBy("_safe").agg(F.min("_raw").alias("one"), F.max("_raw").alias("other")).filter("one <> other").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]['one']!r} and {bad[0]['other']!r} both become the column {bad[0]['_safe']!r}")
+    return df
+
+
 def outer_merge(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Full outer join of wide tables with unique keys, done as one union and one aggregation."""
     union = tables[0]
@@ -221,13 +226,22 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def sorted_positions(df: DataFrame, keys: Sequence[str], ts: str, seq: str, out: str = "position") -> DataFrame:
-    """Rows numbered in stable (key, time, input) order over the whole table, without one global sort."""
-    from gapline.operators.blocks import block_rank, measured_slice
+    """Rows numbered in stable (key, time, input) order over the whole table, without one global sort.
 
-    rows = df.withColumn("_us", micros(ts))
-    width = measured_slice(rows, keys, "_us")
-    block = F.struct(*keys, cell("_us", width).alias("_s"))
-    return block_rank(rows.withColumn("_block", block), [], "_block", ["_us", seq], out).drop("_us", "_block")
+    Rows before an entity are summed over ranges of entities; inside an entity rows are ranked in time slices.  Null
+    keys and times come first.
+    """
+    entity = F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]))
+    rows = df.withColumn("_us", micros(ts)).withColumn("_entity", entity)
+    per = rows.groupBy("_entity", *keys).agg(F.count(F.lit(1)).alias("_rows"))
+    upto = running_sum(sampled_block(per, keys[0]), [], "_block", list(keys), {"_upto": "_rows"})
+    upto = upto.select("_entity", (F.col("_upto") - F.col("_rows")).alias("_first"))
+    width = measured_slice(rows, ["_entity"], "_us")
+    slices = rows.withColumn("_block", F.coalesce(cell("_us", width), F.lit(-(1 << 60))))
+    ranked = block_rank(slices, ["_entity"], "_block", ["_us", seq], "_inside")
+    return ranked.join(upto, "_entity").withColumn(out, F.col("_inside") + F.col("_first")).drop(
+        "_us", "_block", "_entity", "_inside", "_first"
+    )
 
 
 def sort_rows(df: DataFrame, keys: Sequence[str], ts: str, seq: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from gapline.config import (
 from gapline.functions.scalar import (
     body_mass_index, duration_minutes, gender_code, lenient_double, pose_text, positive_flag, stage_minutes, zero_flag,
 )
-from gapline.operators.blocks import block_rank
+from gapline.operators.blocks import block_rank, sampled_block
 from gapline.operators.episodes import static_index
 from gapline.operators.reshape import keep_first, many_to_one
 
@@ -66,7 +66,7 @@ def mothers_static_single(df: DataFrame, entity: str = ENTITY, seq: str = "seq")
 def pose_codebook(df: DataFrame, column: str = "pose") -> DataFrame:
     """Distinct normalised texts with their rank from 0; the empty text has no code."""
     texts = df.select(pose_text(column).alias("pose_text")).filter("pose_text <> ''").distinct()
-    ranked = block_rank(texts.withColumn("_block", F.substring("pose_text", 1, 3)), [], "_block", "pose_text")
+    ranked = block_rank(sampled_block(texts, "pose_text"), [], "_block", "pose_text")
     return ranked.select("pose_text", (F.col("rank") - 1).cast("double").alias("pose_code"))
 
 

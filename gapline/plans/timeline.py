@@ -44,7 +44,9 @@ def vitals_wide(measurements: DataFrame, seq: str, names=VITAL_NAMES, wanted: Se
 
 
 def labs_wide(labs: DataFrame, seq: str, values: Sequence[str] | None = None) -> DataFrame:
-    rows = labs.withColumn(TS, _time(labs, "ResultTime")).withColumn("_name", safe_name(F.upper("TestName")))
+    """Parsed results, one row per (entity, time): declared tests as columns, else all tests in a map `cells`."""
+    raw = reshape.assert_distinct_names(labs.withColumn("_raw", F.upper(F.trim("TestName"))), "_raw").drop("_raw")
+    rows = raw.withColumn(TS, _time(labs, "ResultTime")).withColumn("_name", safe_name(F.upper("TestName")))
     rows = rows.withColumn("_value", strict_double("Result"))
     return reshape.pivot_last(rows, [ENTITY, TS], "_name", "_value", seq, values)
 

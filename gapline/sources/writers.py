@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,22 +39,43 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def materialize(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """A stored step: read it if its write was completed, else make, write and read it back.
+    """A stored step: read it if the same plan was stored here completely, else write it and read it back.
 
-    The written table cuts the lineage and survives lost executors.
+    The folder's name carries a fingerprint of the plan (inputs, settings and operators), so another plan under the same
+    path is another step.  The written table cuts the lineage and survives lost executors.
     """
-    if force or not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
-        write_parquet(make(), path)
+    made = make()
+    path = f"{path.rstrip('/')}-{made.semanticHash() & 0xFFFFFFFF:08x}"
+    if force or not exists(spark, f"{path}/_SUCCESS"):
+        write_parquet(made, path)
     return spark.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of stored steps."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def replace_parquet(spark: SparkSession, df: DataFrame, path: str) -> str:
-    """Write beside the target, then swap; readers never see a half-written table."""
+    """Write beside the target, move the old table aside, move the new one in, then delete the old one.
+
+    A table is complete whenever it is there, and a failure puts the old one back.  Between the two renames a reader
+    may find none; a store without renames needs a table format instead.
+    """
     path = path.rstrip("/")
-    write_parquet(df, f"{path}.tmp")
+    mark = uuid.uuid4().hex
+    new, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
+    write_parquet(df, new)
     to_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = to_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(to_path(path), True)
-    if not fs.rename(to_path(f"{path}.tmp"), to_path(path)):
+    had = fs.exists(to_path(path))
+    if had and not fs.rename(to_path(path), to_path(old)):
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(to_path(new), to_path(path)):
+        if had:
+            fs.rename(to_path(old), to_path(path))
         raise OSError(f"could not replace {path}")
+    if had:
+        fs.delete(to_path(old), True)
     return path

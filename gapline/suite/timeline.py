@@ -210,8 +210,37 @@ def pivot_last(spark, d):
 @query("A02", f"""WITH e AS (SELECT *, date_trunc('day', ts) AS t FROM events)
 SELECT user_id, CAST(t AS TIMESTAMP) AS t, {_case('arg_min', ', event_id')} FROM e GROUP BY user_id, t""")
 def pivot_first(spark, d):
-    """Pivot values found by a distinct pass."""
-    return reshape.pivot_first(hourly(spark, d), ["user_id", "t"], "event_type", "value", "event_id")
+    return reshape.pivot_first(hourly(spark, d), ["user_id", "t"], "event_type", "value", "event_id", TYPES)
+
+
+@query("A01 A02 A03", """WITH e AS (SELECT *, CAST(date_trunc('day', ts) AS TIMESTAMP) AS t FROM events)
+SELECT user_id, t, event_type AS name, arg_max(value, event_id) AS last_value, arg_min(value, event_id) AS first_value, 1 AS flag
+FROM e GROUP BY user_id, t, event_type""")
+def pivot_map(spark, d):
+    """Pivots over undeclared names: one map per row, no name reaches the driver."""
+    rows, keys = hourly(spark, d), ["user_id", "t"]
+    last = reshape.pivot_last(rows, keys, "event_type", "value", "event_id").select(*keys, F.explode("cells").alias("name", "last_value"))
+    first = reshape.pivot_first(rows, keys, "event_type", "value", "event_id").select(*keys, F.explode("cells").alias("name", "first_value"))
+    flags = reshape.pivot_flags(rows, keys, "event_type").select(*keys, F.explode("cells").alias("name", "flag"))
+    return last.join(first, [*keys, "name"]).join(flags, [*keys, "name"])
+
+
+@query("M02 M04 W01 W05", """WITH e AS (SELECT event_id, CASE WHEN user_id % 5 <> 0 THEN user_id END AS owner, ts FROM events),
+g AS (SELECT owner, count(*) AS n FROM e GROUP BY owner),
+r AS (SELECT owner, row_number() OVER (ORDER BY n DESC, md5(concat_ws('|', '42', owner)), owner NULLS FIRST) - 1 AS k,
+  row_number() OVER (ORDER BY md5(concat_ws('|', '42', owner)), owner NULLS FIRST) AS h, count(*) OVER () AS groups FROM g),
+b AS (SELECT event_id, row_number() OVER (PARTITION BY owner ORDER BY ts, event_id) AS nth FROM e WHERE owner IS NOT NULL)
+SELECT e.event_id, CAST(CASE WHEN (k // 5) % 2 = 0 THEN k % 5 ELSE 4 - k % 5 END AS INT) AS fold,
+  CAST(h <= greatest(1, ceil(groups * 0.2)) AS INT) AS is_validation, b.nth
+FROM e JOIN r ON e.owner IS NOT DISTINCT FROM r.owner LEFT JOIN b USING (event_id)""")
+def null_entities(spark, d):
+    """Splits keep rows of a null entity as one group; per-entity numbers leave them out."""
+    from gapline.operators import matrix
+
+    rows = events(spark, d).select("event_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id")).alias("owner"), "ts")
+    split = matrix.group_holdout(matrix.group_folds(rows, ["owner"]), ["owner"])
+    numbered = ep.birth_index(rows, ["owner"], "ts", ["event_id"], out="nth").select("event_id", "nth")
+    return split.select("event_id", "fold", "is_validation").join(numbered, "event_id", "left")
 
 
 @query("A03", """SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS t,
@@ -393,7 +422,7 @@ def timeline_build(spark, d):
 
     measurements, labs, drugs, children = raw_tables(spark, d)
     built = flow.build_timeline(
-        flow.vitals_wide(measurements, "event_id"), flow.labs_wide(labs, "event_id"), flow.drugs_wide(drugs),
+        flow.vitals_wide(measurements, "event_id"), flow.labs_wide(labs, "event_id", ["HGB_BLOOD"]), flow.drugs_wide(drugs),
         flow.births(children), day_us, hour_us, work=shared_folder(spark),
     )
     return built.rows.select(
@@ -404,5 +433,4 @@ def timeline_build(spark, d):
 
 @query("O01", "SELECT event_id, user_id, row_number() OVER (ORDER BY user_id, ts, event_id) AS position FROM events")
 def sorted_timeline(spark, d):
-    rows = reshape.sort_rows(events(spark, d), KEY, "ts", "event_id")
-    return reshape.sorted_positions(rows, KEY, "ts", "event_id").select("event_id", "user_id", "position")
+    return reshape.sorted_positions(events(spark, d), KEY, "ts", "event_id").select("event_id", "user_id", "position")
