@@ -83,7 +83,7 @@ def candidates(docs: DataFrame, text: str = "text", owner: str = "source", repos
 def ownership(found: DataFrame) -> DataFrame:
     """Per value hash: distinct owners and repositories, and places.  Counted per (value, owner, repository) first, so
     a widely copied value moves one row per owner and task."""
-    per = found.where(F.col("kind_no").isNotNull()).groupBy("value_sha256", "owner", "repository").agg(F.count(F.lit(1)).alias("places"))
+    per = found.groupBy("value_sha256", "owner", "repository").agg(F.count(F.lit(1)).alias("places"))
     return per.groupBy("value_sha256").agg(
         F.countDistinct("owner").alias("n_owners"), F.count(F.lit(1)).alias("n_repositories"), F.sum("places").alias("n_places")
     )
@@ -94,7 +94,9 @@ def scan(steps, docs: DataFrame, max_owners: int = 2, **columns) -> DataFrame:
     verdict ('owner_specific', 'widely_copied', 'weak').  `owned` candidates that are not owner-specific are no
     findings; a document without findings keeps one row with a null kind."""
     found = steps.store(candidates(docs, **columns))
-    rows = found.join(ownership(found), "value_sha256", "left")
+    hits = found.where(F.col("kind_no").isNotNull())
+    # documents without a hit have no value to look up: they stay out of the join
+    rows = hits.join(ownership(hits), "value_sha256").unionByName(found.where(F.col("kind_no").isNull()), allowMissingColumns=True)
     verdict = (
         F.when(F.col("kind_no").isNull(), None).when(~F.col("live_looking"), "weak")
         .when(F.col("n_owners") <= max_owners, "owner_specific").otherwise("widely_copied")
