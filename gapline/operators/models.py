@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from gapline.functions.scalar import hash_rank
 from gapline.operators.blocks import block_rank, hash_block, one_row
 from gapline.operators.evaluate import ranking_metrics, threshold_metrics
-from gapline.operators.matrix import class_weights, downsample_even, group_folds
+from gapline.operators.matrix import add_missing_mask, apply_scaler, class_weights, downsample_even, fit_scaler, group_folds
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "_x") -> DataFrame:
@@ -45,21 +45,46 @@ def score(model, df: DataFrame, features: Sequence[str], out: str = "score") ->
     )
 
 
+def fitted_table(scaler: DataFrame) -> DataFrame:
+    """The fitted scaler as a table of constants: one row per feature, so that it is not fitted again on every use."""
+    return scaler.sparkSession.createDataFrame(scaler.collect(), scaler.schema)
+
+
+def prepare(train: DataFrame, rows: DataFrame, features: Sequence[str], mask: bool = True):
+    """Filled and scaled training rows and other rows, fitted on the training rows alone; and the feature names."""
+    scaler = fitted_table(fit_scaler(train, features))
+    names = [*features, *([f"{c}_missing" for c in features] if mask else [])]
+
+    def ready(df: DataFrame) -> DataFrame:
+        return apply_scaler(add_missing_mask(df, features) if mask else df, scaler, features)
+
+    return ready(train), ready(rows), names
+
+
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, group: Sequence[str], k: int = 5,
-                   seed: int = 42, even: bool = False, ids: Sequence[str] = (), threshold: float = 0.5, **trees):
-    """(best model, validation scores with `fold`, metrics per fold): one fit per group fold, best ROC area kept."""
-    folded = group_folds(df, group, k, seed)
+                   seed: int = 42, even: bool = False, ids: Sequence[str] = (), threshold: float = 0.5,
+                   fill: bool = False, store: Callable[[DataFrame, str], DataFrame] | None = None, **trees):
+    """(best model, validation scores with `fold`, metrics per fold): one fit per group fold, best ROC area kept.
+
+    With `fill`, medians, means and deviations come from each fold's own training rows, after they are balanced, and
+    missing flags are added; validation rows shape nothing.  `store(table, name)` keeps tables that are read often.
+    """
+    keep = store or (lambda table, _: table)
+    folded = keep(group_folds(df, group, k, seed), "folds")
     fits, parts = [], []
     for fold in range(k):
-        train = folded.filter(F.col("fold") != fold).drop("fold")
+        train, rest = folded.filter(F.col("fold") != fold).drop("fold"), folded.filter(F.col("fold") == fold)
         if even:
             train = downsample_even(train, label, ids or group, seed)
-        model = fit_trees(weight_rows(train, label), features, label, seed=seed, **trees)
+        names = list(features)
+        if fill:
+            train, rest, names = prepare(train, rest, features)
+        model = fit_trees(keep(weight_rows(train, label), f"train{fold}"), names, label, seed=seed, **trees)
         fits.append(model)
-        parts.append(score(model, folded.filter(F.col("fold") == fold), features))
-    scores = reduce(DataFrame.unionByName, parts)
-    metrics = ranking_metrics(scores, label, "score", ["fold"]).join(
-        threshold_metrics(scores, label, "score", threshold, ["fold"]), "fold"
+        parts.append(score(model, rest, names).select(*df.columns, "fold", "score"))
+    scores = keep(reduce(DataFrame.unionByName, parts), "scores")
+    metrics = keep(
+        ranking_metrics(scores, label, "score", ["fold"]).join(threshold_metrics(scores, label, "score", threshold, ["fold"]), "fold"), "metrics"
     )
     rows = metrics.select("fold", "roc_auc").collect()  # one row per fold
     usable = [r for r in rows if r["roc_auc"] is not None]
@@ -69,51 +94,75 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, group: Se
     return fits[best], scores, metrics
 
 
+def fold_report(folded: DataFrame, label: str, scored: str = "score") -> DataFrame:
+    """Per fold: training and validation rows, positive weight of the training part, areas on the validation part."""
+    own = folded.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n_validation"), F.sum((F.col(label) == 1).cast("long")).alias("_p"), F.sum((F.col(label) == 0).cast("long")).alias("_n")
+    )
+    total = folded.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("n")
+    )
+    counts = own.withColumn("_t", one_row(total)).select(
+        "fold", (F.col("_t.rows") - F.col("n_validation")).alias("n_train"), "n_validation",
+        ((F.col("_t.n") - F.col("_n")) / F.greatest(F.col("_t.p") - F.col("_p"), F.lit(1)).cast("double")).alias("pos_weight"),
+    )
+    return counts.join(ranking_metrics(folded, label, scored, ["fold"]), "fold")
+
+
 def importance_table(model, features: Sequence[str], spark) -> DataFrame:
     """(feature, importance), most important first; one row per feature."""
     values = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
     return spark.createDataFrame(values, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def most_important(model, features: Sequence[str], n: int) -> list[str]:
+    """The n features with the highest importance, as a prefilter of permutations; one number per feature."""
+    values = sorted(zip(features, model.featureImportances.toArray()), key=lambda x: (-x[1], x[0]))
+    return [f for f, _ in values[:n]]
+
+
 def fit_fusion(df: DataFrame, label: str, scores: Sequence[str] = ("static_score", "sequence_score"), c: float = 1.0,
                max_iter: int = 200):
     """Logistic regression on two scores with inverse regularisation C over summed losses."""
     n = max(df.count(), 1)
     learner = LogisticRegression(
         featuresCol="_x", labelCol=label, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-        maxIter=max_iter,
+        maxIter=max_iter, tol=1e-12,
     )
     return learner.fit(assemble(df, scores))
 
 
-def permute_column(df: DataFrame, column: str, ids: Sequence[str], seed) -> DataFrame:
-    """The table with one column shuffled over all rows, the same way in every run.
+def permuted(df: DataFrame, ids: Sequence[str], features: Sequence[str], tested: Sequence[str], repeats: int, seed) -> DataFrame:
+    """Every row once for each (feature, turn), with that feature's value taken from another row.
 
-    Rows are ranked twice by different hashes in hash-prefix blocks; the value of rank r
-    in one order goes to the row of rank r in the other.
+    Rows are ranked once by a hash.  In turn t of a feature all its values move on by the same distance in that order,
+    drawn from a hash of feature and turn: a permutation without a fixed row, found by one equality join.
     """
-    def ranked(rows: DataFrame, salt: str) -> DataFrame:
-        rows = rows.withColumn("_h", hash_rank(f"{seed}{salt}", *ids)).withColumn("_block", hash_block("_h"))
-        return block_rank(rows, [], "_block", ["_h", *ids], "_rank").drop("_h", "_block")
-
-    taken = ranked(df.select(*ids, column), "from").select("_rank", column)
-    return ranked(df.drop(column), "to").join(taken, "_rank").drop("_rank").select(*df.columns)
-
-
-def permutation_importance(model, df: DataFrame, features: Sequence[str], label: str, ids: Sequence[str],
+    ranked = df.withColumn("_h", hash_rank(seed, *ids)).withColumn("_block", hash_block("_h"))
+    ranked = block_rank(ranked, [], "_block", ["_h", *ids], "_rank", total="_rows").drop("_h", "_block")
+    moves = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(t).alias("turn")) for f in tested for t in range(repeats)])
+    rows = ranked.select("*", F.explode(moves).alias("_m")).select(*ranked.columns, "_m.feature", "_m.turn")
+    drawn = F.conv(F.substring(hash_rank(seed, F.col("feature"), F.col("turn")), 1, 12), 16, 10).cast("long")
+    step = F.pmod(drawn, F.greatest(F.col("_rows") - 1, F.lit(1))) + 1
+    rows = rows.withColumn("_from", F.pmod(F.col("_rank") - 1 + step, F.col("_rows")) + 1)
+    taken = ranked.select(F.col("_rank").alias("_from"), F.struct(*[F.col(f) for f in tested]).alias("_taken"))
+    mixed = rows.join(taken, "_from")
+    changed = {f: F.when(F.col("feature") == f, F.col(f"_taken.{f}")).otherwise(F.col(f)) for f in tested}
+    return mixed.select(*[c for c in df.columns if c not in changed], *[x.alias(f) for f, x in changed.items()], "feature", "turn")
+
+
+def permutation_importance(scorer, df: DataFrame, features: Sequence[str], label: str, ids: Sequence[str],
                            repeats: int = 5, tested: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
-    """Mean and std of the loss in average precision when one feature is shuffled."""
-    parts = []
-    base = score(model, df, features).select(label, "score").withColumn("feature", F.lit("")).withColumn("turn", F.lit(-1))
-    for feature in tested or features:
-        for turn in range(repeats):
-            mixed = permute_column(df.select(*ids, label, *features), feature, ids, f"{seed}|{feature}|{turn}|")
-            scored = score(model, mixed, features).select(label, "score")
-            parts.append(scored.withColumn("feature", F.lit(feature)).withColumn("turn", F.lit(turn)))
-    runs = ranking_metrics(reduce(DataFrame.unionByName, parts, base), label, "score", ["feature", "turn"])
-    whole = one_row(runs.filter("turn = -1").select("average_precision"))
-    drops = runs.filter("turn >= 0").withColumn("_base", whole["average_precision"])
+    """Mean and std of the loss in average precision when one feature is shuffled.
+
+    `scorer` is a fitted tree model or a function that adds `score` to a table.  All features and turns are one plan.
+    """
+    add = scorer if callable(scorer) else lambda rows: score(scorer, rows, features)
+    rows = df.select(*ids, label, *features)
+    whole = one_row(ranking_metrics(add(rows), label, "score").select("average_precision"))
+    mixed = add(permuted(rows, ids, features, list(tested or features), repeats, seed))
+    runs = ranking_metrics(mixed.select(label, "score", "feature", "turn"), label, "score", ["feature", "turn"])
     loss = F.col("_base") - F.col("average_precision")
-    return drops.groupBy("feature").agg(
+    return runs.withColumn("_base", whole["average_precision"]).groupBy("feature").agg(
         F.avg(loss).alias("importance_mean"), F.stddev_pop(loss).alias("importance_std")
     )

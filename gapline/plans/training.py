@@ -16,7 +16,7 @@ from gapline.operators.matrix import (
     add_missing_mask, apply_scaler, binarize, fit_scaler, group_holdout, project_matrix, varying_features,
 )
 from gapline.operators.reshape import semi_join
-from gapline.sources.writers import materialize
+from gapline.sources.writers import materialize, write_json, write_parquet
 
 PAIR = [ENTITY, "episode_idx"]
 META = [ENTITY, "episode_idx", "snapshot_time", "mins_postpartum", "pregnancy_index"]
@@ -73,19 +73,27 @@ class Report:
     metrics: DataFrame
     importance: DataFrame
 
+    def write(self, folder: str) -> str:
+        """Metrics and importances as JSON, scores as Parquet."""
+        write_json(self.metrics, f"{folder}/metrics")
+        write_json(self.importance, f"{folder}/importance")
+        write_parquet(self.scores, f"{folder}/scores")
+        return folder
+
 
 def train_folds(matrix: DataFrame, features: Sequence[str], ids: Sequence[str],
                 settings: TrainingSettings = TrainingSettings(), work: str | None = None) -> Report:
-    """Grouped folds by episode on imputed features; the fold with the best area keeps its model.
+    """Grouped folds by episode; each fold fills and scales by its own training rows, the best area keeps its model.
 
-    With `work`, the imputed table is stored once: every tree level of every fold reads it.
+    With `work`, the filled training rows of a fold are stored once (every tree level reads them), and so are the scores.
     """
-    ready, names = impute(matrix, features)
-    if work:
-        filled = ready
-        ready = materialize(matrix.sparkSession, f"{work}/imputed", lambda: filled, force=True)
+    def store(table: DataFrame, name: str) -> DataFrame:
+        return materialize(matrix.sparkSession, f"{work}/{name}", lambda: table, force=True)
+
+    names = [*features, *[f"{c}_missing" for c in features]]
     model, scores, metrics = models.cross_validate(
-        ready, names, "y", PAIR, settings.folds, settings.seed, settings.even_classes, ids, settings.threshold,
+        matrix, features, "y", PAIR, settings.folds, settings.seed, settings.even_classes, ids, settings.threshold,
+        fill=True, store=store if work else None,
         trees=settings.trees, depth=settings.depth, step=settings.step, subsample=settings.subsample,
     )
     importance = models.importance_table(model, names, matrix.sparkSession)

@@ -215,11 +215,12 @@ _cols = ("price", "quantity", "tax", "fixed")
 u AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v FROM f" for c in _cols)}),
 m AS (SELECT feature, median(v) AS md FROM u GROUP BY feature),
 s AS (SELECT u.feature, any_value(md) AS md, avg(coalesce(v, md)) AS mean, stddev_pop(coalesce(v, md)) AS sd FROM u JOIN m USING (feature) GROUP BY u.feature)
-SELECT feature, md AS median, round(mean, 6) AS mean, round(CASE WHEN sd < 1e-8 THEN 1.0 ELSE sd END, 6) AS std FROM s""")
+SELECT feature, md AS median, round(mean + 1e-9, 6) AS mean, round(CASE WHEN sd < 1e-8 THEN 1.0 ELSE sd END + 1e-9, 6) AS std FROM s""")
 def scaler_fit(spark, d):
-    """Median of the values, mean and std of the filled column, per feature."""
+    """Median of the values, mean and std of the filled column, per feature; shifted off the ties of the rounding, as
+    means of decimals often end on one."""
     out = matrix.fit_scaler(_flawed(spark, d), _cols)
-    return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+    return out.withColumns({"mean": F.round(F.col("mean") + 1e-9, 6), "std": F.round(F.col("std") + 1e-9, 6)})
 
 
 @query("M05", f"""WITH {_flawed_sql},
@@ -386,46 +387,163 @@ def score_alignment(spark, d):
     return evaluate.align_scores(static, seqs, ys, "id").withColumn("sequence_score", r9("sequence_score"))
 
 
-# ------------------------------------------------------------------ models (checked by tests, not by SQL)
-def _vectors(spark, d, width: int = 6):
+# ------------------------------------------------------------------ models
+WIDTH = 64
+_vectors_sql = "v AS (SELECT vec_id, vec_id % 120 AS grp, CAST(label >= 5 AS INT) AS y, CAST(embedding[4] > 0 AS INT) AS planted, embedding FROM embeddings)"
+
+
+def _vectors(spark, d):
+    """All dimensions of the vectors as features."""
     vectors = table(spark, d, "embeddings").select(
         "vec_id", (F.col("vec_id") % 120).alias("group"), (F.col("label") >= 5).cast("int").alias("y"),
-        *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(width)],
+        (F.get("embedding", F.lit(3)) > 0).cast("int").alias("planted"),
+        *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i:02d}") for i in range(WIDTH)],
     )
-    return vectors, [f"f{i}" for i in range(width)]
+    return vectors, [f"f{i:02d}" for i in range(WIDTH)]
+
+
+def _whole_weights(rows, names):
+    """Features in whole thousandths, so that sums are exact, and a fixed linear score over all of them."""
+    rows = rows.withColumns({c: F.floor(F.col(c) * 1000).cast("double") for c in names})
+
+    def add(table):
+        total = F.lit(0.0)
+        for i, c in enumerate(names):
+            total = total + F.col(c) * float(i % 7 - 3)
+        return table.withColumn("score", total)
+
+    return rows, add
+
+
+_linear_sql = " + ".join(f"floor(embedding[{i + 1}]::DOUBLE * 1000) * {i % 7 - 3}" for i in range(WIDTH))
+_ap_sql = """k AS (SELECT {keys}score, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY {keys}score),
+cu AS (SELECT *, sum(pos) OVER (PARTITION BY {part} ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY {part} ORDER BY score DESC) AS fp,
+  sum(pos) OVER (PARTITION BY {part}) AS p, sum(neg) OVER (PARTITION BY {part}) AS n FROM k)"""
 
 
 @query("M07 M08 M16 A23")
 def trees_cross_validated(spark, d):
-    """Boosted trees with class weights on three grouped folds; metrics per fold."""
+    """Boosted trees with class weights on five grouped folds; metrics per fold (checked by tests)."""
     rows, names = _vectors(spark, d)
-    _, _, metrics = models.cross_validate(rows, names, "y", ["group"], k=3, trees=5, depth=3, step=0.3)
+    _, _, metrics = models.cross_validate(rows.drop("planted"), names, "y", ["group"], k=5, trees=5, depth=3, step=0.3)
     return metrics
 
 
-@query("M07 M16 O06")
+@query("M08 M04 A23 M10 M11", f"""WITH {_vectors_sql},
+g AS (SELECT grp, count(*) AS n FROM v GROUP BY grp),
+r AS (SELECT grp, row_number() OVER (ORDER BY n DESC, md5(concat_ws('|', '42', grp)), grp) - 1 AS k FROM g),
+s AS (SELECT CAST(CASE WHEN (k // 5) % 2 = 0 THEN k % 5 ELSE 4 - k % 5 END AS INT) AS fold, y, {_linear_sql} AS score FROM v JOIN r USING (grp)),
+c AS (SELECT fold, count(*) AS n_validation, sum(y) AS p, sum(1 - y) AS n FROM s GROUP BY fold),
+t AS (SELECT count(*) AS total, sum(y) AS tp, sum(1 - y) AS tn FROM s),
+{_ap_sql.format(keys="fold, ", part="fold")},
+m AS (SELECT fold, round(sum(neg * (tp - pos / 2)) / (max(p) * max(n)), 9) AS roc_auc, round(sum(pos * (tp / (tp + fp))) / max(p), 9) AS average_precision FROM cu GROUP BY fold)
+SELECT c.fold, CAST(total - n_validation AS BIGINT) AS n_train, n_validation, (tn - n) / greatest(tp - p, 1) AS pos_weight, roc_auc, average_precision FROM c, t JOIN m USING (fold)""".replace("FROM c, t JOIN m USING (fold)", "FROM c JOIN m USING (fold), t"))
+def fold_plumbing(spark, d):
+    """Fold members, sizes, weights and areas of a cross-validation, with a fixed score in the place of a fit."""
+    rows, names = _vectors(spark, d)
+    rows, add = _whole_weights(rows, names)
+    report = models.fold_report(add(matrix.group_folds(rows, ["group"], 5)), "y")
+    return report.withColumns({"roc_auc": r9("roc_auc"), "average_precision": r9("average_precision")})
+
+
+@query("M07 A23 M10", f"""WITH {_vectors_sql} SELECT count(*) AS n, count(*) FILTER (WHERE planted = 0) / greatest(count(*) FILTER (WHERE planted = 1), 1) AS pos_weight,
+  TRUE AS scores_are_probabilities, TRUE AS signal_found FROM v""")
+def trees_planted_signal(spark, d):
+    """A fit on all features finds the one that decides the label."""
+    rows, names = _vectors(spark, d)
+    weighted = models.weight_rows(rows, "planted")
+    model = models.fit_trees(weighted, names, "planted", trees=5, depth=3, step=0.3)
+    scored = models.score(model, weighted, names)
+    area = evaluate.ranking_metrics(scored, "planted", "score").select((F.col("roc_auc") > 0.95).alias("signal_found"))
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("planted") == 1, F.col("_w"))).alias("pos_weight"),
+        F.min(F.col("score").between(0, 1)).alias("scores_are_probabilities"),
+    ).join(area, F.lit(True))
+
+
+@query("M07 M16 O06", "SELECT 'f03' AS feature, 1.0::DOUBLE AS importance UNION ALL SELECT 'f00', 0.0 UNION ALL SELECT 'f01', 0.0")
 def trees_importance(spark, d):
+    """One cut explains a planted label: its feature has all the importance, the others follow by name."""
     rows, names = _vectors(spark, d)
-    model = models.fit_trees(models.weight_rows(rows, "y"), names, "y", trees=5, depth=3, step=0.3)
+    model = models.fit_trees(models.weight_rows(rows, "planted"), names, "planted", trees=1, depth=1, step=0.3, subsample=1.0)
     return evaluate.top_features(models.importance_table(model, names, spark), 3)
 
 
-@query("M09 A22 J20")
+_newton = ["n0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"]
+for _i in range(12):
+    _newton.append(f"""g{_i} AS (SELECT b0, b1, b2, sum(p - y) AS g0, sum((p - y) * x1) + b1 AS g1, sum((p - y) * x2) + b2 AS g2,
+  sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x1) AS h01, sum(p * (1 - p) * x2) AS h02, sum(p * (1 - p) * x1 * x1) + 1 AS h11,
+  sum(p * (1 - p) * x1 * x2) AS h12, sum(p * (1 - p) * x2 * x2) + 1 AS h22
+  FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM xy, n{_i}) GROUP BY b0, b1, b2)""")
+    _newton.append(f"""n{_i + 1} AS (SELECT b0 - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det AS b0,
+  b1 - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det AS b1,
+  b2 - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det AS b2
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM g{_i}))""")
+
+
+@query("M09 A22 J20", f"""WITH st AS (SELECT c_custkey AS id, c_acctbal / 10000 AS x1 FROM customer),
+sq AS (SELECT o_custkey AS id, round(avg(o_totalprice / 500000), 9) AS x2 FROM orders GROUP BY o_custkey),
+l AS (SELECT user_id AS id, CAST(max(value) > 150 AS INT) AS y FROM events GROUP BY user_id),
+xy AS (SELECT id, x1, x2, y FROM st JOIN sq USING (id) JOIN l USING (id)),
+{", ".join(_newton)}
+SELECT id AS mother_id, x1 AS static_score, x2 AS sequence_score, y AS y_doc, round(1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))), 3) AS fused_score FROM xy, n12""")
 def score_fusion(spark, d):
     """Logistic regression on the static score and the mean sequence score."""
     rows = score_alignment(spark, d).withColumnRenamed("id", "mother_id").withColumnRenamed("y", "y_doc")
-    return plan.fuse(
+    fused = plan.fuse(
         rows.select("mother_id", "static_score"), rows.select("mother_id", "sequence_score"),
         rows.select("mother_id", "y_doc"),
     )
+    return fused.withColumn("fused_score", F.round("fused_score", 3))
+
+
+@query("M17", f"""WITH {_vectors_sql},
+q AS (SELECT vec_id, y, {_linear_sql} AS base, [floor(x::DOUBLE * 1000) for x in embedding] AS f FROM v),
+r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', vec_id)), vec_id) AS rk, count(*) OVER () AS n FROM q),
+t AS (SELECT i, 'f' || lpad(CAST(i AS VARCHAR), 2, '0') AS feature, turn FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(2)) AS turn)),
+o AS (SELECT t.*, ('0x' || substr(md5(concat_ws('|', '42', feature, turn)), 1, 12))::BIGINT AS drawn FROM t),
+x AS (SELECT o.feature, o.turn, r.y, r.base, r.f[o.i + 1] AS own, o.i, (r.rk - 1 + drawn % greatest(r.n - 1, 1) + 1) % r.n + 1 AS src FROM r, o),
+s AS (SELECT x.feature, x.turn, x.y, x.base + (r.f[x.i + 1] - x.own) * (x.i % 7 - 3) AS score FROM x JOIN r ON r.rk = x.src
+  UNION ALL SELECT '', 0, y, base FROM q),
+{_ap_sql.format(keys="feature, turn, ", part="feature, turn")},
+m AS (SELECT feature, turn, sum(pos * (tp / (tp + fp))) / max(p) AS ap FROM cu GROUP BY feature, turn),
+z AS (SELECT ap AS whole FROM m WHERE feature = '')
+SELECT feature, round(avg(whole - ap), 9) AS importance_mean, round(stddev_pop(whole - ap), 9) AS importance_std FROM m, z WHERE feature <> '' GROUP BY feature""")
+def permutation_importance(spark, d):
+    """Loss in average precision of a fixed linear score after moving each feature, all features and turns in one plan."""
+    rows, names = _vectors(spark, d)
+    rows, add = _whole_weights(rows, names)
+    out = models.permutation_importance(add, rows, names, "y", ["vec_id"], repeats=2)
+    return out.select("feature", r9("importance_mean").alias("importance_mean"), r9("importance_std").alias("importance_std"))
 
 
-@query("M17")
-def permutation_importance(spark, d):
-    """Loss in average precision after shuffling one feature over all rows."""
-    rows, names = _vectors(spark, d, 4)
+@query("M17 O06")
+def permutation_of_trees(spark, d):
+    """The same for a fitted model, on the features that its own importances put first (checked by tests)."""
+    rows, names = _vectors(spark, d)
     model = models.fit_trees(models.weight_rows(rows, "y"), names, "y", trees=3, depth=2, step=0.3)
-    return models.permutation_importance(model, rows, names, "y", ["vec_id"], repeats=2, tested=names[:2])
+    return models.permutation_importance(model, rows, names, "y", ["vec_id"], repeats=2, tested=models.most_important(model, names, 8))
+
+
+@query("M05 M04", f"""WITH {_flawed_sql}, g AS (SELECT l_orderkey, count(*) AS n FROM f GROUP BY l_orderkey),
+r AS (SELECT l_orderkey, row_number() OVER (ORDER BY n DESC, md5(concat_ws('|', '42', l_orderkey)), l_orderkey) - 1 AS k FROM g),
+x AS (SELECT f.*, CAST(CASE WHEN (k // 3) % 2 = 0 THEN k % 3 ELSE 2 - k % 3 END AS INT) AS fold FROM f JOIN r USING (l_orderkey)),
+m AS (SELECT o.fold, median(price) AS mp, median(quantity) AS mq FROM x, (SELECT unnest([0, 1, 2]) AS fold) o WHERE x.fold <> o.fold GROUP BY o.fold),
+s AS (SELECT m.fold, avg(coalesce(price, mp)) AS ap, stddev_pop(coalesce(price, mp)) AS sp, avg(coalesce(quantity, mq)) AS aq, stddev_pop(coalesce(quantity, mq)) AS sq
+  FROM x JOIN m ON x.fold <> m.fold GROUP BY m.fold)
+SELECT l_orderkey, l_linenumber, x.fold, round((coalesce(price, mp) - ap) / sp, 5) AS price, round((coalesce(quantity, mq) - aq) / sq, 5) AS quantity,
+  CAST(price IS NULL AS INT)::DOUBLE AS price_missing, CAST(quantity IS NULL AS INT)::DOUBLE AS quantity_missing
+FROM x JOIN m ON m.fold = x.fold JOIN s ON s.fold = x.fold""")
+def fold_imputation(spark, d):
+    """Each fold's validation rows, filled and scaled by what its training rows alone have shown."""
+    names = ["price", "quantity"]
+    rows = matrix.group_folds(_flawed(spark, d).select("l_orderkey", "l_linenumber", *names), ["l_orderkey"], 3)
+    parts = []
+    for fold in range(3):
+        _, rest, _ = models.prepare(rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold), names)
+        parts.append(rest)
+    out = reshape.union_all(parts)
+    return out.withColumns({c: F.round(c, 5) for c in names} | {f"{c}_missing": F.col(f"{c}_missing").cast("double") for c in names})
 
 
 # ------------------------------------------------------------------ whole flows
@@ -454,7 +572,6 @@ def features_to_folds(spark, d):
     features, marks = snapshot_plan.snapshot_features(kept, shots, static, settings, RANGES, DERIVED, work=work)
     features = snapshot_plan.with_static(features, static)
     built, used = plan.build_matrix(features, marks, drop_constant=True, work=work)
-    used = [c for c in used if c.endswith(("_fine_mean", "_coarse_max", "segment_length"))]
-    small = TrainingSettings(trees=3, depth=2, step=0.3, folds=2)
+    small = TrainingSettings(trees=3, depth=2, step=0.3)
     report = plan.train_folds(built, used, ["hashed_mother_id", "episode_idx", "snapshot_time"], small, work)
     return report.metrics
