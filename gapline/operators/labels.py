@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gapline.config import DOSE_WORDS, PRODUCT_WORDS
 from gapline.functions.clock import cell, day_us, from_micros, hour_us, micros
-from gapline.functions.scalar import contains_any
+from gapline.functions.scalar import contains_any, strict_double
 from gapline.operators.episodes import contain_in_episode, gap_episodes
 from gapline.operators.nearest import latest_within
 
@@ -128,8 +128,8 @@ def align_labels(
         own = own.withColumn(birth, F.lit(None).cast("timestamp_ntz"))
     rows = labels.filter(F.col(ts).isNotNull()).withColumn("label", F.coalesce(F.col("label"), F.lit(0)))
     for optional in ("blood_dose", "blood_product"):
-        if optional not in rows.columns:
-            rows = rows.withColumn(optional, F.lit(None).cast("float"))
+        value = strict_double(optional) if optional in rows.columns else F.lit(None).cast("double")
+        rows = rows.withColumn(optional, value)
     found = contain_in_episode(rows, own, [entity], ts, ["episode_idx", birth])
     return found.select(
         entity, "pregnancy_index", "episode_idx", ts, birth, "label",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def all_queries():
-    from gapline.suite import cleaning, sources, snapshots, statics, timeline, training  # noqa: F401
+    from gapline.suite import cleaning, flows, sources, snapshots, statics, timeline, training  # noqa: F401
     from gapline.suite.registry import QUERIES
 
     return dict(QUERIES)

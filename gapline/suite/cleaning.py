@@ -90,7 +90,7 @@ def safe_name(spark, d):
     return rows.distinct()
 
 
-@query("P12 P13 P25", """SELECT event_id, CASE event_type WHEN 'view' THEN 'sistol' WHEN 'click' THEN 'diastol' ELSE event_type END AS name
+@query("P12 P13", """SELECT event_id, CASE event_type WHEN 'view' THEN 'sistol' WHEN 'click' THEN 'diastol' ELSE event_type END AS name
 FROM events WHERE event_type IN ('view', 'click', 'error')""")
 def rename_values(spark, d):
     """Dictionary names with passthrough, then the wanted ones."""

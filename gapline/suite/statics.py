@@ -85,7 +85,9 @@ def newborns(spark, d):
         (F.col("l_tax") > 0.06).cast("int").alias("nicu_hospitalization"),
         F.concat(F.lit(" "), "l_returnflag", F.lit(" .")).alias("pose"), F.col("l_linestatus").alias("birth_type"),
         F.when(F.col("l_discount") > 0.08, 1).otherwise(0).alias("stillborn"), F.col("l_quantity").alias("pregnancy_weeks"),
-        F.lit("1").alias("newborn_medical_record"), (F.col("l_tax") + 7).alias("PH -Cord, V"),
+        F.lit("1").alias("newborn_medical_record"), (F.col("l_linenumber") + 7).alias("PH -Cord, V"),
+        (F.col("l_linenumber") + 6).alias("PH -Cord, Ar"), (F.col("l_linenumber") * 3).alias("Base Excess -Cord, V"),
+        (-F.col("l_linenumber")).alias("Base Excess -Cord, Ar"), F.when(F.col("l_quantity") > 5, F.col("l_quantity")).alias("days_in_hospital"),
     )
 
 
@@ -113,30 +115,29 @@ pm AS (SELECT hashed_mother_id, code, row_number() OVER (PARTITION BY hashed_mot
   GROUP BY hashed_mother_id, code)
 SELECT k.hashed_mother_id, count(g) AS n_children, CAST(max(nicu) AS INT) AS any_nicu, any_value(CAST(gm.gc AS DOUBLE)) AS gender_mode_code,
   round(avg(CAST(k.gc AS DOUBLE)), 6) AS gender_prop_male, any_value(pm.code) AS pose_mode_code,
-  CAST(coalesce(max(k.gc), 0) > 0 AS INT) AS any_male, CAST(coalesce(avg(k.gc), 1) < 1 AS INT) AS any_female
+  CAST(coalesce(max(k.gc), 0) > 0 AS INT) AS any_male, CAST(coalesce(avg(k.gc), 1) < 1 AS INT) AS any_female,
+  min(w) AS birthweight_min_g, max(w) AS birthweight_max_g, round(avg(w), 9) AS birthweight_mean_g, CAST(min(a1) AS DOUBLE) AS apgar1_min, min(a5) AS apgar5_min
 FROM k LEFT JOIN gm ON gm.hashed_mother_id = k.hashed_mother_id AND gm.rn = 1
 LEFT JOIN pm ON pm.hashed_mother_id = k.hashed_mother_id AND pm.rn = 1 GROUP BY k.hashed_mother_id""")
 def child_codes(spark, d):
     out = statics.newborns_coded(newborns(spark, d))
-    return out.select(
-        ENTITY, "n_children", "any_nicu", "gender_mode_code", F.round("gender_prop_male", 6).alias("gender_prop_male"),
-        "pose_mode_code", "any_male", "any_female",
-    )
+    return out.withColumns({"gender_prop_male": F.round("gender_prop_male", 6), "birthweight_mean_g": F.round("birthweight_mean_g", 9)})
 
 
 @query("A15 A16 J22", f"""WITH {CHILD_SQL},
 bm AS (SELECT hashed_mother_id, bt, row_number() OVER (PARTITION BY hashed_mother_id ORDER BY count(*) DESC, bt) AS rn FROM c GROUP BY hashed_mother_id, bt)
 SELECT c.hashed_mother_id, CAST(count(*) AS INT) AS fetus_count, CAST(max(CASE WHEN still > 0.08 THEN 1 ELSE 0 END) AS INT) AS stillborn_any,
-  CAST(max(a1) AS DOUBLE) AS apgar1_max, round(avg(a1), 6) AS apgar1_mean, round(avg(a5), 6) AS apgar5_mean, min(weeks) AS preg_weeks_min,
-  max(weeks) AS preg_weeks_max, any_value(bm.bt) AS mode_birth_type, CAST(count(*) >= 2 AS INT) AS multiple_gestation
-FROM c JOIN bm ON bm.hashed_mother_id = c.hashed_mother_id AND bm.rn = 1 GROUP BY c.hashed_mother_id""")
+  CAST(max(a1) AS DOUBLE) AS apgar1_max, round(avg(a1), 9) AS apgar1_mean, round(avg(a5), 9) AS apgar5_mean, min(weeks) AS preg_weeks_min,
+  max(weeks) AS preg_weeks_max, any_value(bm.bt) AS mode_birth_type, CAST(count(*) >= 2 AS INT) AS multiple_gestation,
+  CAST(min(a1) AS DOUBLE) AS apgar1_min, min(a5) AS apgar5_min, max(a5) AS apgar5_max, min(w) AS birthweight_min_g, max(w) AS birthweight_max_g,
+  round(avg(w), 9) AS birthweight_mean_g, round(avg(weeks), 9) AS preg_weeks_mean, round(avg(a1 + 7), 9) AS cord_ph_v_mean, round(avg(a1 + 6), 9) AS cord_ph_a_mean,
+  round(avg(a1 * 3), 9) AS base_excess_v_mean, round(avg(-a1), 9) AS base_excess_a_mean, round(avg(CASE WHEN weeks > 5 THEN weeks END), 9) AS days_in_hosp_mean,
+  any_value(pm.p) AS mode_pose
+FROM c JOIN (SELECT hashed_mother_id, ' ' || pose || ' .' AS p, row_number() OVER (PARTITION BY hashed_mother_id ORDER BY count(*) DESC, pose) AS rn
+  FROM c GROUP BY hashed_mother_id, pose) pm ON pm.hashed_mother_id = c.hashed_mother_id AND pm.rn = 1 JOIN bm ON bm.hashed_mother_id = c.hashed_mother_id AND bm.rn = 1 GROUP BY c.hashed_mother_id""")
 def child_ranges(spark, d):
     out = statics.newborns_full(newborns(spark, d))
-    return out.select(
-        ENTITY, "fetus_count", "stillborn_any", "apgar1_max", F.round("apgar1_mean", 6).alias("apgar1_mean"),
-        F.round("apgar5_mean", 6).alias("apgar5_mean"), "preg_weeks_min", "preg_weeks_max", "mode_birth_type",
-        "multiple_gestation",
-    )
+    return out.withColumns({c: F.round(c, 9) for c in out.columns if c.endswith(("_mean", "_mean_g"))})
 
 
 @query("P24 S19", """SELECT t AS pose_text, CAST(row_number() OVER (ORDER BY t) - 1 AS DOUBLE) AS pose_code
@@ -172,7 +173,7 @@ def baseline_lookup(spark, d):
     return out.withColumn("baseline", F.round("baseline", 6))
 
 
-@query("P46 J21", """SELECT o_custkey AS mother_id, CAST(CASE arg_min(o_orderkey % 3, o_orderkey) WHEN 0 THEN 1 ELSE 0 END AS INT) AS y_doc
+@query("P46", """SELECT o_custkey AS mother_id, CAST(CASE arg_min(o_orderkey % 3, o_orderkey) WHEN 0 THEN 1 ELSE 0 END AS INT) AS y_doc
 FROM orders WHERE o_orderkey % 3 <> 2 AND o_custkey IN (SELECT user_id FROM events) GROUP BY o_custkey""")
 def documented_labels(spark, d):
     """First readable yes/no token per entity, for entities with a sequence."""
@@ -182,8 +183,8 @@ def documented_labels(spark, d):
     k = F.col("o_orderkey") % 3
     rows = table(spark, d, "orders").select(
         F.col("o_custkey").alias("mother_id"), "o_orderkey",
-        F.when(k == 0, YES_TOKEN).when(k == 1, NO_TOKEN).otherwise("?").alias("PPH"),
+        F.when(k == 0, YES_TOKEN).when(k == 1, NO_TOKEN).otherwise("?").alias("answer"),
     )
-    out = read_labels(rows, "mother_id", "PPH", YES_TOKEN, NO_TOKEN, "o_orderkey")
+    out = read_labels(rows, "mother_id", "answer", YES_TOKEN, NO_TOKEN, "o_orderkey")
     seen = table(spark, d, "events").select(F.col("user_id").alias("mother_id"))
     return reshape.semi_join(out, seen, ["mother_id"])

@@ -73,7 +73,7 @@ def episode_pregnancy_index(spark, d):
     return ep.pregnancy_index(event_bounds(spark, d), KEY).drop("ep_end")
 
 
-@query("W05 P25", """
+@query("W05", """
 SELECT o_orderkey, o_custkey, o_orderdate,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pregnancy_index FROM orders""")
 def birth_index(spark, d):

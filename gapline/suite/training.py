@@ -58,18 +58,18 @@ def positive_dates(spark, d):
 
 @query("L05 P08 P45 J05", f"""WITH {EPISODES_SQL},
 own AS (SELECT user_id, ep_start, ep_end, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ep_start) AS INT) AS k FROM bounds),
-l AS (SELECT user_id, ts + INTERVAL 5 HOUR AS t, CAST(length(event_type) % 4 AS INT) AS label FROM events WHERE event_type <> 'view')
+l AS (SELECT user_id, ts + INTERVAL 5 HOUR AS t, CAST(length(event_type) % 4 AS INT) AS label, CAST(event_id % 3 AS DOUBLE) AS dose FROM events WHERE event_type <> 'view')
 SELECT CAST(l.user_id AS VARCHAR) AS hashed_mother_id, 1 AS pregnancy_index, own.k AS episode_idx, t AS event_time_abs, label,
-  CAST(label IN (1, 2) AS INT) AS label_pos
+  CAST(label IN (1, 2) AS INT) AS label_pos, CAST(NULL AS TIMESTAMP) AS birth_datetime, dose AS blood_dose, CAST(NULL AS DOUBLE) AS blood_product
 FROM l LEFT JOIN own ON own.user_id = l.user_id AND t BETWEEN own.ep_start AND own.ep_end""")
 def label_alignment(spark, d):
     bounds = event_bounds(spark, d).withColumn(ENTITY, F.col("user_id").cast("string")).drop("user_id")
     rows = events(spark, d).filter("event_type <> 'view'").select(
         F.col("user_id").cast("string").alias(ENTITY), F.lit(1).alias("pregnancy_index"),
         (F.col("ts") + F.expr("INTERVAL 5 HOUR")).alias("event_time_abs"),
-        (F.length("event_type") % 4).cast("int").alias("label"),
+        (F.length("event_type") % 4).cast("int").alias("label"), (F.col("event_id") % 3).cast("string").alias("blood_dose"),
     )
-    return labels.align_labels(rows, bounds).drop("birth_datetime", "blood_dose", "blood_product")
+    return labels.align_labels(rows, bounds).withColumn("blood_product", F.col("blood_product").cast("double"))
 
 
 # ------------------------------------------------------------------ label tables
@@ -88,7 +88,7 @@ def label_rows(spark, d):
     )
 
 
-@query("J11 L06 J10", f"""WITH {LAB_SQL}, y AS (SELECT user_id, episode_idx, snapshot_time, max(label) AS label FROM lab
+@query("J11 L06", f"""WITH {LAB_SQL}, y AS (SELECT user_id, episode_idx, snapshot_time, max(label) AS label FROM lab
   WHERE event_id % 3 = 0 GROUP BY user_id, episode_idx, snapshot_time)
 SELECT x.event_id, x.user_id, x.episode_idx, CAST(x.snapshot_time AS TIMESTAMP) AS snapshot_time, coalesce(y.label, 0) AS label
 FROM lab x LEFT JOIN y ON y.user_id = x.user_id AND y.episode_idx = x.episode_idx AND y.snapshot_time = x.snapshot_time""")
@@ -106,7 +106,7 @@ def label_episode_level(spark, d):
     return labels.label_at_time(rows.drop("label"), rows.filter("event_id % 3 = 0"), EPISODE, None)
 
 
-@query("A21 M19", f"""WITH {LAB_SQL} SELECT user_id, episode_idx, CAST(min(snapshot_time) FILTER (WHERE label > 0) AS TIMESTAMP) AS first_bleed_time,
+@query("A21", f"""WITH {LAB_SQL} SELECT user_id, episode_idx, CAST(min(snapshot_time) FILTER (WHERE label > 0) AS TIMESTAMP) AS first_bleed_time,
   CAST(max(CASE WHEN label > 0 THEN 1 ELSE 0 END) AS INT) AS bleed_flag FROM lab GROUP BY user_id, episode_idx""")
 def first_positive(spark, d):
     return labels.first_positive(label_rows(spark, d), EPISODE)
@@ -291,7 +291,7 @@ def balanced_sample(spark, d):
     return matrix.balanced_sample(_orders(spark, d), "y", ["o_orderkey"], 1000)
 
 
-@query("O03 M19", f"""WITH {_orders_sql}, r AS (SELECT *, {_rank(7, ["o_orderkey"], "PARTITION BY y")} AS rn FROM o)
+@query("O03", f"""WITH {_orders_sql}, r AS (SELECT *, {_rank(7, ["o_orderkey"], "PARTITION BY y")} AS rn FROM o)
 SELECT o_orderkey, y FROM r WHERE rn <= 25""")
 def profile_sample(spark, d):
     return matrix.sample_per_class(_orders(spark, d), "y", ["o_orderkey"], 25, 7).select("o_orderkey", "y")
@@ -363,7 +363,7 @@ def pr_points(spark, d):
     return out.withColumn("threshold", r9("threshold"))
 
 
-@query("M12 S20", f"""WITH {SCORE_SQL}, c AS (SELECT CAST(count(*) FILTER (WHERE score < 0.5 AND y = 0) AS BIGINT) AS tn, count(*) FILTER (WHERE score >= 0.5 AND y = 0) AS fp,
+@query("M12", f"""WITH {SCORE_SQL}, c AS (SELECT CAST(count(*) FILTER (WHERE score < 0.5 AND y = 0) AS BIGINT) AS tn, count(*) FILTER (WHERE score >= 0.5 AND y = 0) AS fp,
   count(*) FILTER (WHERE score < 0.5 AND y = 1) AS fn, count(*) FILTER (WHERE score >= 0.5 AND y = 1) AS tp FROM s)
 SELECT *, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, tn / (tn + fp) AS specificity, tp / (tp + fn) AS sensitivity FROM c""")
 def threshold_metrics(spark, d):
@@ -547,7 +547,7 @@ def fold_imputation(spark, d):
 
 
 # ------------------------------------------------------------------ whole flows
-@query("M01 M05 M06 M07 M08 M10 M11 M12 W14 W17 L03 O02 A17 J13 J14")
+@query("M01 M05 M06 M07 M08 M10 M11 M12 W14 W17 L03 O02 A17 J13")
 def features_to_folds(spark, d):
     """Timeline and doses to snapshots, static columns, matrix and grouped folds; metrics per fold."""
     from gapline.config import SnapshotSettings

@@ -138,7 +138,7 @@ def test_pivot_keeps_last_even_if_null(spark):
     rows = [("a", "x", 1.0, 1), ("a", "x", None, 2), ("a", "y", None, 1), ("a", "y", 4.0, 2), ("b", "z", 1.0, 1)]
     df = spark.createDataFrame(rows, "id string, n string, v double, seq int")
     assert [tuple(r) for r in reshape.pivot_last(df, ["id"], "n", "v", "seq", ["x", "y"]).collect()] == [("a", None, 4.0)]
-    first = {tuple(r) for r in reshape.pivot_first(df, ["id"], "n", "v", "seq").collect()}
+    first = {tuple(r) for r in reshape.pivot_first(df, ["id"], "n", "v", "seq", ["x", "y", "z"]).collect()}
     assert first == {("a", 1.0, 4.0, None), ("b", None, None, 1.0)}
 
 
