@@ -201,9 +201,21 @@ def test_histogram_matches_numpy(spark):
 # ------------------------------------------------------------------ models
 def test_permuted_column_is_a_permutation(spark):
     df = spark.range(200).select("id", (F.col("id") * 3).alias("v"), F.lit(1).alias("w"))
-    out = models.permute_column(df, "v", ["id"], 7).collect()
-    assert sorted(r.v for r in out) == [3 * i for i in range(200)] and sum(r.v == 3 * r.id for r in out) < 20
-    assert sorted(map(tuple, out)) == sorted(map(tuple, models.permute_column(df.repartition(5), "v", ["id"], 7).collect()))
+    out = models.permuted(df, ["id"], ["v", "w"], ["v"], 2, 7).collect()
+    for turn in (0, 1):
+        own = [r for r in out if r.turn == turn]
+        assert sorted(r.v for r in own) == [3 * i for i in range(200)] and all(r.v != 3 * r.id for r in own)
+    again = models.permuted(df.repartition(5), ["id"], ["v", "w"], ["v"], 2, 7).collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, again))
+
+
+def test_skewed_values_fall_into_like_ranges(spark):
+    from gapline.operators.blocks import range_block, sampled_block
+
+    df = spark.range(4000).select((F.pow(F.lit(0.5), F.col("id") % 1000)).alias("v"), F.concat(F.lit("patient_"), F.col("id")).alias("t"))
+    for blocked in (range_block(df, "v", 16), sampled_block(df.union(spark.createDataFrame([(1.0, "!")], "v double, t string")), "t", 16)):
+        sizes = [r["count"] for r in blocked.groupBy("_block").count().collect()]
+        assert len(sizes) >= 12 and max(sizes) <= 4000 / 16 * 3
 
 
 def test_trees_find_the_signal(spark):

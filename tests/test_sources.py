@@ -57,15 +57,14 @@ def test_column_list(spark, folder):
 
 
 def test_stored_step_runs_once(spark, folder):
-    calls = []
-
-    def make():
-        calls.append(1)
-        return spark.range(4)
-
+    files = []
     for force in (False, False, True):
-        assert writers.materialize(spark, f"{folder}/step", make, force).count() == 4
-    assert len(calls) == 2
+        step = writers.materialize(spark, f"{folder}/step", lambda: spark.range(4), force)
+        assert step.count() == 4
+        files.append(set(step.inputFiles()))
+    assert files[0] == files[1] and files[1] != files[2]
+    # another plan under the same path is another step
+    assert writers.materialize(spark, f"{folder}/step", lambda: spark.range(5)).count() == 5
 
 
 def test_replace_swaps_the_table(spark, folder):
