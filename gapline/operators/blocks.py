@@ -111,6 +111,21 @@ def block_rank(
     return df.join(per, [*keys, block]).withColumn(out, F.row_number().over(local) + F.col("_c")).drop("_c")
 
 
+def first_in_blocks(df: DataFrame, keys: Sequence[str], block: str, order, n) -> DataFrame:
+    """The first n rows per key in (block, order); n is a number or a column that is the same for all rows of a key.
+
+    Blocks behind the n-th row are left out by their counts, so only about n rows of a key are ranked.
+    """
+    per = df.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("_n"))
+    before = _over(keys, block).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c"))
+    limit = F.lit(n) if isinstance(n, int) else n
+    needed = df.join(per.filter(F.col("_c") < limit), [*keys, block])
+    local = _over([*keys, block], *_cols(order))
+    ranked = needed.withColumn("_rank", F.row_number().over(local) + F.col("_c"))
+    return ranked.filter(F.col("_rank") <= limit).drop("_rank", "_c")
+
+
 def neighbours(df: DataFrame, keys: Sequence[str], block: str, order: str, payload: Sequence[str]) -> DataFrame:
     """Add `_prev` and `_next`: the payload structs of the rows right before and after, also across blocks."""
     row = F.struct(*payload)

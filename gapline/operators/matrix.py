@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapline.functions.scalar import hash_rank, matrix_float
-from gapline.operators.blocks import block_rank, exact_quantile, hash_block, one_row
+from gapline.operators.blocks import block_rank, exact_quantile, first_in_blocks, hash_block, one_row
 
 
 # ---------------------------------------------------------------- cells and columns
@@ -108,7 +108,12 @@ def _hash_ranked(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed, t
 
 def balanced_sample(df: DataFrame, label: str, ids: Sequence[str], n: int, seed: int = 111) -> DataFrame:
     """At most n rows of every class, the same ones in every run; ids identify a row."""
-    return _hash_ranked(df, [label], ids, seed).filter(F.col("_rank") <= n).drop("_rank")
+    return _first_by_hash(df, label, ids, seed, n)
+
+
+def _first_by_hash(df: DataFrame, label: str, ids: Sequence[str], seed, n) -> DataFrame:
+    rows = df.withColumn("_hash", hash_rank(seed, *ids)).withColumn("_block", hash_block("_hash"))
+    return first_in_blocks(rows, [label], "_block", ["_hash", *ids], n).drop("_hash", "_block").select(*df.columns)
 
 
 def sample_per_class(df: DataFrame, label: str, ids: Sequence[str], n: int, seed: int, classes=(0, 1)) -> DataFrame:
@@ -122,8 +127,7 @@ def sample_per_class(df: DataFrame, label: str, ids: Sequence[str], n: int, seed
 def downsample_even(df: DataFrame, label: str, ids: Sequence[str], seed: int = 123) -> DataFrame:
     """As many rows of every class as the smallest class has."""
     least = df.groupBy(label).count().agg(F.min("count").alias("_least"))
-    ranked = _hash_ranked(df, [label], ids, seed).withColumn("_least", one_row(least)["_least"])
-    return ranked.filter(F.col("_rank") <= F.col("_least")).drop("_rank", "_least")
+    return _first_by_hash(df, label, ids, seed, one_row(least)["_least"])
 
 
 def _hash_number(seed: str, *cols) -> Column:
