@@ -176,6 +176,8 @@ class ColumnSettings:
 
 @dataclass(frozen=True)
 class TrainingSettings:
+    """The defaults of training that results depend on."""
+
     positive_labels: tuple[int, ...] = (1, 2)
     min_variance: float = 1e-12
     holdout_fraction: float = 0.2
@@ -185,9 +187,5 @@ class TrainingSettings:
     depth: int = 5
     step: float = 0.05
     subsample: float = 0.8
-    histogram_bins: int = 40
-    histogram_top: int = 50
-    importance_top: int = 30
     threshold: float = 0.5
-    fusion_c: float = 1.0
     even_classes: bool = False

@@ -43,10 +43,6 @@ def seconds_between(later, earlier) -> Column:
     return (micros(later) - micros(earlier)) / F.lit(float(second_us))
 
 
-def minutes_between(later, earlier) -> Column:
-    return (micros(later) - micros(earlier)) / F.lit(float(minute_us))
-
-
 def strict_timestamp(text, fmt: str = MAIN_FORMAT) -> Column:
     """One format; a value that does not match raises (ANSI mode)."""
     return F.to_timestamp_ntz(_c(text), F.lit(fmt))

@@ -138,7 +138,7 @@ def align_labels(
 
 
 def dose_times(wide: DataFrame | None, aligned: DataFrame | None, entity: str, ts: str = "event_time_abs") -> DataFrame:
-    """Distinct dose times: from the wide dose table if it has any, else from aligned labels above 0."""
+    """Dose times: distinct ones of the wide dose table if it has any, else those of all aligned labels above 0."""
     from gapline.operators.reshape import melt_times
 
     if wide is not None:

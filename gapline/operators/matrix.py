@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gapline.functions.scalar import hash_rank, matrix_float
+from gapline.functions.scalar import hash_rank, matrix_float, nan_to_null
 from gapline.operators.blocks import block_rank, exact_quantile, first_in_blocks, hash_block, one_row
 
 
@@ -222,7 +222,7 @@ def frequency_filter(
     if least <= 0 or not shown:
         return df
     hourly = df.groupBy(entity, F.date_trunc("hour", ts).alias("_h")).agg(
-        *[F.count(f"`{c}`").alias(f"_n{i}") for i, c in enumerate(shown)]
+        *[F.count(nan_to_null(F.col(f"`{c}`").cast("double"))).alias(f"_n{i}") for i, c in enumerate(shown)]
     )
     per = hourly.groupBy(entity).agg(
         F.count("_h").alias("_hours"), *[F.sum(f"_n{i}").alias(f"_n{i}") for i in range(len(shown))]

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gapline.functions.clock import cell, from_micros, micros, second_us
-from gapline.functions.scalar import safe_name
+from gapline.functions.scalar import nan_to_null, safe_name
 from gapline.operators.blocks import block_rank, gap_cells, measured_slice, running_sum, sampled_block
 
 
@@ -69,9 +69,9 @@ def outer_merge(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 
 def melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str = "signal", value: str = "value") -> DataFrame:
-    """Wide to long; null cells are dropped."""
+    """Wide to long; null and NaN cells are dropped."""
     pairs = F.array(
-        *[F.struct(F.lit(c).alias(name), F.col(f"`{c}`").cast("double").alias(value)) for c in columns]
+        *[F.struct(F.lit(c).alias(name), nan_to_null(F.col(f"`{c}`").cast("double")).alias(value)) for c in columns]
     )
     kept = F.filter(pairs, lambda p: p[value].isNotNull())
     return df.select(*keys, F.explode(kept).alias("_p")).select(*keys, f"_p.{name}", f"_p.{value}")

@@ -65,7 +65,7 @@ def snapshot_features(
     """(features, labels) per kept snapshot.
 
     `timeline` is wide, with entity, time, episode and pregnancy number.  All episodes
-    run as one job: samples shrink to panes, windows are frames over panes, and only
+    run as one job: samples shrink to panes, panes are repeated for the windows that see them, and only
     snapshots that keep a label are spread to columns.  `work` names a shared folder for
     the samples and episode spans, which several steps read; without it they are
     computed each time.

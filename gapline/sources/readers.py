@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructType
 
 from gapline.functions.clock import LABEL_FORMATS, lenient_timestamp, second_timestamp
 from gapline.operators.columns import present
@@ -115,7 +115,3 @@ def strict_label_times(df: DataFrame, text: str, out: str, formats: Sequence[str
     if bad:
         raise ValueError(f"{text}: no accepted format {tuple(formats)} for {[r[0] for r in bad]}")
     return rows
-
-
-def text_schema(columns: Sequence[str]) -> StructType:
-    return StructType([StructField(c, StringType()) for c in columns])

@@ -103,7 +103,7 @@ def holdout_flow(spark, d):
     return counts.join(area.select((F.col("roc_auc") > 0.9).alias("signal_found")), F.lit(True))
 
 
-@query("J21 P46 P48 J20", """WITH y AS (SELECT o_custkey AS id, CAST(CASE arg_min(o_orderkey % 3, o_orderkey) WHEN 0 THEN 1 ELSE 0 END AS INT) AS y_doc
+@query("J21 P46 P48", """WITH y AS (SELECT o_custkey AS id, CAST(CASE arg_min(o_orderkey % 3, o_orderkey) WHEN 0 THEN 1 ELSE 0 END AS INT) AS y_doc
   FROM orders WHERE o_orderkey % 3 <> 2 GROUP BY o_custkey)
 SELECT c_custkey AS mother_id, CAST(c_acctbal AS DOUBLE) AS c_acctbal, c_nationkey, y_doc FROM customer JOIN y ON y.id = c_custkey WHERE c_custkey IN (SELECT user_id FROM events)""")
 def static_matrix(spark, d):
