@@ -24,7 +24,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ DICTIONARY_BYTES = 65_536
 #: Small enough that a batch of blocks fits a worker.
 BLOCK_DOCUMENTS = 64
 BLOCK_BYTES = 1 << 18
-KNOWN_STRETCHES = 500_000
+KNOWN_STRETCHES = 1_200_000
 BLOCKS = (
     "part int, block bigint, first_id bigint, last_id bigint, doc_ids array<bigint>, offsets array<bigint>, "
     "n_tokens array<bigint>, dictionary_sha256 string, frames binary"
@@ -47,9 +49,20 @@ BLOCKS = (
 
 _STRETCH = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+$")
 #: Two white-space characters in a row, or one that is neither a space nor a newline.
-_UNUSUAL = re.compile(r"[ \n][ \n]|[\t\r\x0b\x0c]")
-#: White space beyond ASCII, and the controls that only Python takes for it.
-_WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_UNUSUAL = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
+#: Controls that only Python takes for white space, and white space beyond ASCII.
+_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Marks that never share a token with a letter or digit before them.
+_ENDS = ".,;:!?"
+
+
+def _wide(text: str) -> bool:
+    return any(c in text for c in _CONTROLS) or (not text.isascii() and _WIDE.search(text) is not None)
+
+
+def _unusual(text: str) -> bool:
+    return any(c in text for c in _UNUSUAL)
 
 
 class Encoder:
@@ -72,6 +85,7 @@ class Encoder:
         )
         self.after_space: dict[str, bytes] = {}  # the stretch without its space, or with its newline
         self.whole: dict[str, bytes] = {}
+        self.newline = self._library(["\n"])[0]
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -81,41 +95,75 @@ class Encoder:
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        if self.width == 2 and sys.byteorder == "little":
+            return [array("H", e.ids).tobytes() for e in encoded]
         return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in encoded]
 
+    def _learn(self, after: set[str], whole: set[str]) -> None:
+        """Ids of new stretches: after a space (or with their newline), and as they stand.
+
+        A newline before a stretch and marks after its last letter are tokens of their own, so only what is between
+        them is encoded, once for all its neighbours.
+        """
+        known, plain = self.after_space, self.whole
+        words, bare, joined = set(), whole, []
+        for part in after:
+            if part[:1] == "\n":
+                word = part[1:].rstrip(_ENDS)
+                if not word or not word[-1].isalnum():
+                    word = part[1:]
+                joined.append((part, word, part[len(word) + 1 :], plain))
+                bare.add(word)
+                bare.add(joined[-1][2])
+            elif part[-1:] in _ENDS:
+                word = part.rstrip(_ENDS)
+                if word and word[-1].isalnum():
+                    joined.append((part, word, part[len(word) :], known))
+                    bare.add(joined[-1][2])
+                else:
+                    word = part
+                words.add(word)
+            else:
+                words.add(part)
+        new = [w for w in words if w not in known]
+        known.update(zip(new, self._library([" " + w for w in new]), strict=True))
+        new = [w for w in bare if w not in plain]
+        plain.update(zip(new, self._library(new), strict=True))
+        for part, word, end, table in joined:
+            known[part] = (self.newline if table is plain else b"") + table[word] + plain[end]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_stretch:
             return self._library(texts)
-        plans: list[tuple] = []
-        after: set[str] = set()
-        whole: set[str] = set()
+        if len(self.after_space) + len(self.whole) > KNOWN_STRETCHES:
+            self.after_space.clear()
+            self.whole.clear()
+        plans: list[tuple] = []  # first stretch, the others, their ids, the places of those not met before, where to look
+        new_after: set[str] = set()
+        new_whole: set[str] = set()
+        odd: list[str] = []
         for text in texts:
-            if _WIDE.search(text):
-                plans.append((None, text))
-                whole.add(text)
-            elif _UNUSUAL.search(text):
+            first, parts, table, new = "", (), self.whole, new_whole
+            if _wide(text):
+                odd.append(text)
+            elif _unusual(text):
                 parts = _STRETCH.findall(text)
-                plans.append((None, *parts))
-                whole.update(parts)
             else:
                 first, *parts = text.replace("\n", " \n").split(" ")
-                plans.append((first, *parts))
-                whole.add(first)
-                after.update(parts)
-        known, first_known = self.after_space, self.whole
-        if len(known) + len(first_known) > KNOWN_STRETCHES:
-            known.clear()
-            first_known.clear()
-        new = [p for p in after if p not in known]
-        known.update(zip(new, self._library([p if p[:1] == "\n" else " " + p for p in new]), strict=True))
-        new = [p for p in whole if p not in first_known]
-        first_known.update(zip(new, self._library(new), strict=True))
+                table, new = self.after_space, new_after
+                if first not in self.whole:
+                    new_whole.add(first)
+            found = list(map(table.get, parts))
+            holes = [i for i, f in enumerate(found) if f is None] if None in found else ()
+            new.update([parts[i] for i in holes])
+            plans.append((first, parts, found, holes, table))
+        self._learn(new_after, new_whole)
+        whole_texts = dict(zip(odd, self._library(odd), strict=True))
         out = []
-        for first, *parts in plans:
-            if first is None:
-                out.append(b"".join(map(first_known.__getitem__, parts)))
-            else:
-                out.append(first_known[first] + b"".join(map(known.__getitem__, parts)))
+        for text, (first, parts, found, holes, table) in zip(texts, plans, strict=True):
+            for i in holes:
+                found[i] = table[parts[i]]
+            out.append(whole_texts[text] if text in whole_texts else (self.whole[first] if first else b"") + b"".join(found))
         return out
 
 
