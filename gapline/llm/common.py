@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -11,6 +12,8 @@ from gapline.session import shared_folder
 
 #: Batches handed to Python stay small, also for long texts.
 ARROW_ROWS = 256
+#: Rows of a batch that holds a few numbers each.
+NARROW_ROWS = 50_000
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
 
@@ -24,6 +27,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def narrow_rows(spark: SparkSession, rows: int = NARROW_ROWS):
+    """Larger Arrow batches for what runs inside: rows of a few numbers, not texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Steps:
     """Numbered Parquet steps in one new folder below the cluster's checkpoint folder."""
 
