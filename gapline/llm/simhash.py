@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gapline.llm.common import add_struct, free_name, same
+from gapline.llm.common import add_struct, free_name, narrow_rows
 from gapline.llm.graph import components
 
 DISTANCE = 3
@@ -291,7 +291,8 @@ def near_duplicates(steps, docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, fp, component_id for every row."""
     rows = steps.store(fingerprints(docs))
     distinct = steps.store(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(steps, links(steps, distinct))
+    with narrow_rows(docs.sparkSession):
+        found = components(steps, links(steps, distinct))
     member = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -309,9 +310,11 @@ def stage(steps, docs: DataFrame) -> DataFrame:
     found = near_duplicates(steps, docs)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
+    # two hashes without nulls: the join and the removal of repeated rows share one shuffle of the texts
     its_id, its_hash = free_name(docs, "_id"), free_name(docs, "_hash")
+    id_hash = lambda c: F.xxhash64(F.isnull(c), c)
     kept = found.groupBy(group.alias("g")).agg(F.min(key).alias("k")).select(
-        F.col("k.doc_id").alias(its_id), F.col("k.text_hash").alias(its_hash)
+        id_hash(F.col("k.doc_id")).alias(its_id), F.col("k.text_hash").alias(its_hash)
     )
-    rows = docs.join(kept, same(docs["doc_id"], kept[its_id]) & (F.xxhash64(docs["text"]) == kept[its_hash]))
+    rows = docs.withColumns({its_id: id_hash(F.col("doc_id")), its_hash: F.xxhash64("text")}).join(kept, [its_id, its_hash])
     return rows.dropDuplicates([its_id, its_hash]).select(*docs.columns)
