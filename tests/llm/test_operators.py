@@ -393,3 +393,14 @@ def test_many_copies_stay_linear(spark):
     windows = substring_dedup.windows(rows).count()
     assert links.count() <= 2 * windows
     assert {r.class_id for r in substring_dedup.classes(Steps(spark), docs).collect()} == {0}
+
+
+def test_passages_behind_frequent_phrases_are_found(spark):
+    rng = random.Random(29)
+    fresh = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+    phrase = fresh(40)
+    passage = [*fresh(6), *phrase, *fresh(6)]
+    plans = [fresh(30) + phrase + fresh(30) for _ in range(90)] + [fresh(40) + passage + fresh(9), fresh(20) + passage + fresh(70)]
+    rows = substring_dedup.classes(Steps(spark), docs_of(spark, [" ".join(p) for p in plans])).orderBy("doc_id").collect()
+    assert [r.class_id for r in rows] == [*range(90), 90, 90]
+    assert rows[90].spans == "40:92" and rows[91].spans == "20:72"
