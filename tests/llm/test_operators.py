@@ -404,3 +404,14 @@ def test_passages_behind_frequent_phrases_are_found(spark):
     rows = substring_dedup.classes(Steps(spark), docs_of(spark, [" ".join(p) for p in plans])).orderBy("doc_id").collect()
     assert [r.class_id for r in rows] == [*range(90), 90, 90]
     assert rows[90].spans == "40:92" and rows[91].spans == "20:72"
+
+
+def test_every_place_of_a_passage_is_reported(spark):
+    rng = random.Random(31)
+    fresh = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+    passage, often = fresh(60), fresh(60)
+    plans = [passage + fresh(50) + passage, passage[:55] + fresh(30), fresh(10) + passage]
+    plans += [fresh(5) + often + fresh(80) + often + fresh(k) for k in range(1, 41)]
+    rows = substring_dedup.classes(Steps(spark), docs_of(spark, [" ".join(p) for p in plans])).orderBy("doc_id").collect()
+    assert [r.class_id for r in rows] == [0] * 3 + [3] * 40
+    assert [r.spans for r in rows] == ["0:60,110:170", "0:55", "10:70"] + ["5:65,145:205"] * 40
