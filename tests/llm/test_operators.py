@@ -415,3 +415,16 @@ def test_every_place_of_a_passage_is_reported(spark):
     rows = substring_dedup.classes(Steps(spark), docs_of(spark, [" ".join(p) for p in plans])).orderBy("doc_id").collect()
     assert [r.class_id for r in rows] == [0] * 3 + [3] * 40
     assert [r.spans for r in rows] == ["0:60,110:170", "0:55", "10:70"] + ["5:65,145:205"] * 40
+
+
+def test_passages_survive_earlier_copies_and_other_text_between():
+    fresh = iter(range(1, 10_000))
+    more = lambda n: [next(fresh) for _ in range(n)]
+    spans = lambda a, b: {x[:4] for x in substring_dedup.passages(np.array(a, np.int32), np.array(b, np.int32), 46)}
+    exact = more(56)
+    assert (0, 55, 31, 86) in spans(exact, [exact[20], *more(30), *exact])
+    assert {(0, 55, 0, 55), (0, 55, 70, 125)} <= spans(exact, exact + more(14) + exact)
+    one, two = more(60), more(60)
+    edit = lambda x: x[:30] + more(5) + x[35:]
+    assert spans(one + two, edit(one) + more(50) + edit(two)) == {(0, 59, 0, 59), (60, 119, 110, 169)}
+    assert spans(more(80), more(80)) == set()
