@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapline.llm import chat, decontaminate, line_dedup, quality, secret_scan, sentencepiece_bridge, sharding, simhash, substring_dedup, token_files
+from gapline.llm import chat, decontaminate, line_dedup, merkle, quality, secret_scan, sentencepiece_bridge, sharding, simhash, substring_dedup, token_files
 from gapline.llm.common import Steps, prepare, table
 from gapline.session import configure
 
@@ -200,3 +200,47 @@ def op10_sentencepiece_bridge(spark, sf_dir):
 def op1_repeated_passages(spark, sf_dir):
     """Class and repeated passages of every document."""
     return substring_dedup.classes(Steps(spark), table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(r"""
+WITH RECURSIVE x AS (
+  SELECT *, coalesce('1' || lang, '0') AS g, coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-')
+      || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') AS head,
+    coalesce(strlen(text)::VARCHAR || ':' || text, '-') AS tail, doc_id::VARCHAR AS s
+  FROM documents
+), l AS (
+  SELECT doc_id, g, sha256(head || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT)),
+        lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda b, i: xor(b >> 1, 3988292384 * (b & 1))))) % 7 = 0
+      THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR)::VARCHAR || ':' || (n_chars + 1), '-') || tail) END AS bad
+  FROM x
+), r AS (
+  SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM l
+), t AS (
+  SELECT 0 AS lvl, g, pos, n, leaf AS h FROM r
+  UNION ALL SELECT lvl + 1, g, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lvl, g, pos // 2, n
+), f AS (
+  SELECT id, 0 AS lvl, g, pos, n, coalesce(bad, leaf) AS h, '' AS sibs FROM r
+  UNION ALL
+  SELECT f.id, f.lvl + 1, f.g, f.pos // 2, (f.n + 1) // 2,
+    sha256(CASE WHEN f.pos % 2 = 1 THEN t.h ELSE '' END || f.h || CASE WHEN f.pos % 2 = 0 THEN coalesce(t.h, '') ELSE '' END), f.sibs || coalesce(t.h, '')
+  FROM f LEFT JOIN t ON t.g = f.g AND t.lvl = f.lvl AND t.pos = xor(f.pos, 1) WHERE f.n > 1
+), u AS (
+  SELECT 0 AS lvl, g, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, h FROM t WHERE n = 1
+), v AS (
+  SELECT lvl, pos, n, h FROM u
+  UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM v WHERE n > 1 GROUP BY lvl, pos // 2, n
+), w AS (
+  SELECT f.id, 0 AS lvl, u.pos, u.n, f.h, f.sibs, u.h AS subroot FROM f JOIN u USING (g) WHERE f.n = 1
+  UNION ALL
+  SELECT w.id, w.lvl + 1, w.pos // 2, (w.n + 1) // 2,
+    sha256(CASE WHEN w.pos % 2 = 1 THEN v.h ELSE '' END || w.h || CASE WHEN w.pos % 2 = 0 THEN coalesce(v.h, '') ELSE '' END), w.sibs || coalesce(v.h, ''), w.subroot
+  FROM w LEFT JOIN v ON v.lvl = w.lvl AND v.pos = xor(w.pos, 1) WHERE w.n > 1
+)
+SELECT doc_id, leaf, subroot, v.h AS root, sha256(sibs) AS proof_sha256, w.h AS folded_root, w.h = v.h AS verified
+FROM r JOIN w USING (id) JOIN v ON v.n = 1 WHERE w.n = 1
+""")
+def op12_merkle_manifest(spark, sf_dir):
+    """Leaf, subroot, root and proof of every document, checked after tampering with some."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    return merkle.audit(merkle.manifest(Steps(spark), merkle.document_leaves(docs)))
