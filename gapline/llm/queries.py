@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapline.llm import chat, decontaminate, line_dedup, merkle, quality, secret_scan, sentencepiece_bridge, sharding, simhash, substring_dedup, token_files
+from gapline.llm import chat, decontaminate, line_dedup, merkle, phrases, quality, secret_scan, sentencepiece_bridge, sharding, simhash, substring_dedup, token_files
 from gapline.llm.common import Steps, prepare, table
 from gapline.session import configure
 
@@ -244,3 +244,33 @@ def op12_merkle_manifest(spark, sf_dir):
     """Leaf, subroot, root and proof of every document, checked after tampering with some."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     return merkle.audit(merkle.manifest(Steps(spark), merkle.document_leaves(docs)))
+
+
+@query(r"""
+WITH p AS (
+  SELECT d.i, generate_subscripts(d.ps, 1) AS j, d.lang, unnest(d.ps) AS piece
+  FROM (
+    SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang,
+      string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps
+    FROM documents
+  ) d
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, m, w[s:s + m - 1] AS ws, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m) GROUP BY ALL
+), n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, ws, f AS a FROM g WHERE m >= 2 AND f >= 30),
+k AS (
+  SELECT c.*, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN g x ON x.lang = c.lang AND x.ws = c.ws[1:k] JOIN g y ON y.lang = c.lang AND y.ws = c.ws[k + 1:]
+), s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+parts AS (SELECT lang, b, f, ws[i:i + b - 1] AS ws FROM (SELECT lang, ws, a AS f, b, unnest(range(1, m - b + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS b) WHERE b < m)),
+kept AS (SELECT s.* FROM s WHERE NOT EXISTS (FROM parts q WHERE q.lang = s.lang AND q.ws = s.ws AND 100 * q.f >= 80 * s.a)),
+o AS (SELECT lang, array_to_string(ws, ' ') AS phrase, a, l, r, score FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) JOIN n USING (lang) WHERE rank <= 2000
+""")
+def op11_collocations(spark, sf_dir):
+    """The best 2,000 phrases of every language in all documents."""
+    return phrases.mine(Steps(spark), table(spark, sf_dir, "documents").select("text", "lang"))
