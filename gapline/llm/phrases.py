@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapline.llm.common import text_bytes
+from gapline.llm.filters import bit_filter, passes
 
 SCALE = 2_000_000
 LEAST = 30
@@ -46,8 +47,6 @@ ROUND = 4_000
 BATCH = 100_000
 #: Words that a task holds before it counts.
 BLOCK = 1 << 20
-#: Bits of the filter of frequent words; a bit set by accident costs rows, nothing else.
-FILTER_BITS = 1 << 24
 #: Texts are read in slices of about so many bytes.
 SLICE = 1 << 20
 #: Distinct words that a task keeps.
@@ -161,11 +160,6 @@ def _blocks(batches) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def _frequent(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = ids.view(np.uint64) & np.uint64(FILTER_BITS - 1)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-
-
 def _counted(first: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (first, word) pairs and their numbers; `first` counts from 0."""
     words, at = np.unique(word, return_inverse=True)
@@ -176,7 +170,7 @@ def _counted(first: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _pair_counts(bits: np.ndarray):
     def run(batches):
         for ids in _blocks(batches):
-            ids = np.where((ids != 0) & _frequent(bits, ids), ids, 0)
+            ids = np.where((ids != 0) & passes(bits, ids), ids, 0)
             inside = (ids[:-1] != 0) & (ids[1:] != 0)
             words, at = np.unique(ids[:-1][inside], return_inverse=True)
             a, b, n = _counted(at, ids[1:][inside])
@@ -239,7 +233,7 @@ def _neighbours(prefixes: list[tuple[np.ndarray, np.ndarray]], bits: np.ndarray)
                 sides += [number[right] * 2 + 1, number[left] * 2]
                 words += [ids[at[right] + table.size], ids[at[left] - 1]]
             side, word = np.concatenate(sides), np.concatenate(words)
-            use = (word != 0) & _frequent(bits, word)
+            use = (word != 0) & passes(bits, word)
             p, w, n = _counted(side[use], word[use])
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(w), pa.array(n, pa.int64())], ["side", "w", "n"])
 
@@ -273,15 +267,6 @@ def _best(rows: DataFrame, top: int, *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
 
 
-def _word_filter(words: DataFrame) -> np.ndarray:
-    """One bit per frequent word: at most FILTER_BITS / 64 numbers reach the driver."""
-    at = F.col("id").bitwiseAND(FILTER_BITS - 1)
-    cells = words.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    bits[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
-    return bits
-
-
 def mine(
     steps, docs: DataFrame, text: str = "text", lang: str = "lang", most_words: int = 4, least: int = LEAST, top: int = TOP,
     share: int = SHARE, of_round: int = ROUND, batch_rows: int = BATCH,
@@ -293,7 +278,7 @@ def mine(
     words = steps.store(words)
     stream = steps.store(slim.mapInArrow(_word_hashes, "ids array<bigint>"))
     single = words.where("id <> 0").select("lang", F.array("id").alias("ws"), F.col("n").alias("f"), "id")
-    bits = _word_filter(single)
+    bits = bit_filter(single, F.col("id"))
 
     pairs = stream.mapInArrow(_pair_counts(bits), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = pairs.where(F.col("n") >= least).join(single.select("lang", F.col("id").alias("a"), "f"), "a")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapline.llm import chat, decontaminate, line_dedup, merkle, phrases, quality, secret_scan, sentencepiece_bridge, sharding, simhash, substring_dedup, token_files
+from gapline.llm import chat, decontaminate, line_dedup, merkle, minhash, phrases, quality, secret_scan, sentencepiece_bridge, sharding, simhash, substring_dedup, token_files
 from gapline.llm.common import Steps, prepare, table
 from gapline.session import configure
 
@@ -274,3 +274,24 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 def op11_collocations(spark, sf_dir):
     """The best 2,000 phrases of every language in all documents."""
     return phrases.mine(Steps(spark), table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query(r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS i, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT i, array_to_string(w[k:k + 2], ' ') AS s FROM (SELECT i, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM d WHERE len(w) > 0)
+), n AS (SELECT i, count(*) AS n FROM s GROUP BY i),
+c AS (SELECT a.i AS a, b.i AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.i < b.i GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.i = a JOIN n y ON y.i = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT i AS a, i AS b FROM d UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b),
+m AS (SELECT r.a AS i, min(d.doc_id) AS component_id FROM r JOIN d ON d.i = r.b GROUP BY r.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN m USING (i) LEFT JOIN n USING (i)
+""")
+def op13_minhash_components(spark, sf_dir):
+    """Near-duplicate component of every document by its three-word shingles."""
+    rows = minhash.near_duplicates(Steps(spark), table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
