@@ -60,6 +60,118 @@ def _reach(code, width: int, closed: bool) -> Column:
     return cell(code + (2 * width if closed else 2 * width - 1), 2)
 
 
+#: Windows of more steps are merged from running results.  Measured on 800,000 panes: repeating a pane takes 3.9 s at 16
+#: steps and 7.3 s at 96, merging 7.5 s and 6.5 s.
+WIDE_STEPS = 64
+#: What a part of a window carries: counts, sums of values and times, extremes, first and last sample.
+_MOMENTS = ("n", "d", "dd", "x", "xx", "xd", "min", "max", "fv", "fs", "lv", "ls")
+
+
+def _part(scope: str, first, last, values: Mapping[str, str], j0: Column | None = None) -> Column:
+    """A running result and the grid points it belongs to."""
+    fields = [F.lit(scope).alias("scope"), F.col(first).cast("long").alias("from"), F.col(last).cast("long").alias("to")]
+    fields.append((j0 if j0 is not None else F.lit(0)).cast("long").alias("j0"))
+    return F.struct(*fields, *[(F.col(values[t]) if t in values else F.lit(None)).cast("long" if t in ("fs", "ls") else "double").alias(t) for t in _MOMENTS])
+
+
+def _running(panes: DataFrame, group: Sequence[str], scope: str, width: int, closed: bool, step_s: float) -> tuple[DataFrame, list[Column]]:
+    """Panes with running results inside blocks of `width` steps, forwards and backwards, and the two parts they give."""
+    at = f"_{scope}_b"
+    panes = panes.withColumn(at, cell("_c", 2 * width))
+    first_point = F.col(at) * width
+    off = (F.col("_j") - first_point) * F.lit(step_s)
+    source = {
+        "n": F.col("_n"), "d": F.col("_d"), "dd": F.col("_dd"), "x": F.col("_su") + F.col("_n") * off,
+        "xx": F.col("_suu") + 2 * off * F.col("_su") + F.col("_n") * off * off, "xd": F.col("_ud") + off * F.col("_d"),
+    }
+    parts = []
+    for ahead in (True, False):
+        tag = f"_{scope}_{'a' if ahead else 'z'}"
+        w = Window.partitionBy(*group, at).orderBy(F.col("_c") if ahead else F.desc("_c"))
+        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        values = {t: F.sum(x).over(run) for t, x in source.items()}
+        values |= {"min": F.min("_min").over(run), "max": F.max("_max").over(run)}
+        # the end where the run begins keeps its sample, the other end is the pane's own
+        begin = ("fv", "fs") if ahead else ("lv", "ls")
+        values |= {t: F.first(f"_{t}").over(run) for t in begin}
+        next_code = F.lead("_c").over(w)
+        if ahead:  # up to the point before the next pane, inside the block
+            values["from"], values["to"] = F.col("_j"), F.coalesce(_point(next_code), first_point + width) - 1
+        else:  # windows of the next block whose first pane this is
+            values["from"] = F.coalesce(_reach(next_code, width, closed) + 1, first_point + width)
+            values["to"] = F.least(_reach(F.col("_c"), width, closed), first_point + (2 * width - 1))
+        panes = panes.select("*", *[x.alias(f"{tag}_{t}") for t, x in values.items()])
+        low = F.greatest(F.col(f"{tag}_from"), first_point) if ahead else F.greatest(F.col(f"{tag}_from"), first_point + width)
+        high = F.least(F.col(f"{tag}_to"), first_point + (width - 1), F.col("_last")) if ahead else F.least(F.col(f"{tag}_to"), F.col("_last"))
+        panes = panes.withColumns({f"{tag}_from": low, f"{tag}_to": high})
+        own = {t: f"{tag}_{t}" if t in values else f"_{t}" for t in _MOMENTS}
+        parts.append(_part(scope, f"{tag}_from", f"{tag}_to", own, first_point))
+    return panes, parts
+
+
+def _repeated(panes: DataFrame, group: Sequence[str], step_us: int, windows: Mapping[str, int], closed: bool, history: bool):
+    """Moments of a pane, once for every grid point that sees it; per scope the condition that its window does."""
+    whole = Window.partitionBy(*group)
+    panes = panes.withColumn("_ref", F.avg("_m").over(whole)).withColumn("_j", _point(F.col("_c")))
+    reaches = {scope: _reach(F.col("_c"), width, closed) for scope, width in windows.items()}
+    to = F.greatest(F.lit(-1), *reaches.values())
+    if history:
+        following = _point(F.lead("_c").over(whole.orderBy("_c")))
+        panes = panes.withColumn("_until", F.coalesce(following - 1, F.col("_last")))
+        to = F.greatest(to, F.col("_until"))
+    panes = panes.withColumns({f"_r_{scope}": reach for scope, reach in reaches.items()})
+    panes = panes.withColumn("_to", F.least(to, F.col("_last"))).filter(F.col("_j") <= F.col("_to"))
+    panes = panes.withColumn("i", F.explode(F.sequence("_j", "_to")))
+    # time of a sample relative to the grid point, value relative to the reference
+    back = (F.col("i") - F.col("_j")) * F.lit(step_us / 1e6)
+    dev = F.col("_m") - F.col("_ref")
+    panes = panes.select(
+        *group, "i", "_ref", "_n", "_min", "_max", "_fv", "_lv", "_fs", "_ls",
+        *[f"_r_{scope}" for scope in windows], *(["_until"] if history else []),
+        (F.col("_n") * dev).alias("_d"),
+        (F.col("_m2") + F.col("_n") * dev * dev).alias("_dd"),
+        (F.col("_su") - F.col("_n") * back).alias("_x"),
+        (F.col("_suu") - 2 * back * F.col("_su") + F.col("_n") * back * back).alias("_xx"),
+        (F.col("_cuv") + F.col("_su") * dev - back * F.col("_n") * dev).alias("_xd"),
+    )
+    return panes, {scope: F.col("i") <= F.col(f"_r_{scope}") for scope in windows}, F.col("i") <= F.col("_until") if history else None
+
+
+def _merged(panes: DataFrame, group: Sequence[str], step_us: int, windows: Mapping[str, int], closed: bool, history: bool):
+    """Moments of at most two running results per window, once for every grid point.
+
+    For a window of w steps time is cut into blocks of w steps.  The window ends in one block and starts in the block
+    before, so it is the running result of its last pane from the block's start, and that of its first pane to its
+    block's end.  Sums never run beyond a block and nothing is subtracted; extremes merge in the same way.
+    """
+    step_s = step_us / 1e6
+    # one exchange for all scans and for the merge
+    panes = panes.repartition(*group)
+    timeline = Window.partitionBy(*group).orderBy("_c")
+    whole = timeline.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    panes = panes.withColumn("_ref", F.avg("_m").over(whole)).withColumn("_j", _point(F.col("_c")))
+    parts = []
+    if history:
+        until = F.least(F.coalesce(_point(F.lead("_c").over(timeline)) - 1, F.col("_last")), F.col("_last"))
+        panes = panes.withColumn("_until", until)
+        parts.append(_part("history", "_j", "_until", {"lv": "_lv", "ls": "_ls"}))
+    dev = F.col("_m") - F.col("_ref")
+    panes = panes.withColumns({"_d": F.col("_n") * dev, "_dd": F.col("_m2") + F.col("_n") * dev * dev, "_ud": F.col("_cuv") + F.col("_su") * dev})
+    for scope, width in windows.items():
+        panes, found = _running(panes, group, scope, width, closed, step_s)
+        parts += found
+    panes = panes.select(*group, "_ref", F.explode(F.array(*parts)).alias("_p")).where("_p.from <= _p.to")
+    panes = panes.select(*group, "_ref", "_p.*").select("*", F.explode(F.sequence("from", "to")).alias("i"))
+    # time relative to the grid point
+    back = (F.col("i") - F.col("j0")) * F.lit(step_s)
+    panes = panes.select(
+        *group, "i", "_ref", "scope", *[F.col(t).alias(f"_{t}") for t in ("n", "d", "dd", "min", "max", "fv", "fs", "lv", "ls")],
+        (F.col("x") - F.col("n") * back).alias("_x"), (F.col("xx") - 2 * back * F.col("x") + F.col("n") * back * back).alias("_xx"),
+        (F.col("xd") - back * F.col("d")).alias("_xd"),
+    )
+    return panes, {scope: F.col("scope") == scope for scope in windows}, F.col("scope") == "history"
+
+
 def grid_windows(
     samples: DataFrame,
     keys: Sequence[str],
@@ -76,6 +188,7 @@ def grid_windows(
     slope_per: float = 1.0,
     seq: str | None = None,
     as_float: bool = True,
+    points: DataFrame | None = None,
 ) -> DataFrame:
     """Window statistics per (keys, signal, grid point).
 
@@ -87,12 +200,14 @@ def grid_windows(
     `history_last` and `history_offset_us` (the newest sample of all time).
     Otherwise only points with a non-empty window appear.
 
-    Panes move once, to the task of their (keys, signal); windows are then formed there
-    by repeating a pane for the points that see it, without another shuffle.
+    Panes move once, to the task of their (keys, signal), where windows are formed without
+    another shuffle: windows of up to `WIDE_STEPS` steps by repeating a pane for the points
+    that see it, wider ones by merging two running results, so that the work of an output
+    row does not grow with the number of steps.  With `points` (keys, `i`) only these grid
+    points are formed.
     """
     keys = list(keys)
     group = [*keys, signal]
-    step_s = step_us / 1e6
     rows = (
         samples.filter(F.col(value).isNotNull() & (F.col(offset_us) >= 0))
         .select(*group, F.col(offset_us).alias("_s"), _number(value, as_float).alias("_v"),
@@ -117,35 +232,15 @@ def grid_windows(
         F.max("_s").alias("_ls"),
         F.max("_last").alias("_last"),
     )
-    whole = Window.partitionBy(*group)
-    panes = panes.withColumn("_ref", F.avg("_m").over(whole)).withColumn("_j", _point(F.col("_c")))
-    reaches = {scope: _reach(F.col("_c"), width, closed) for scope, width in windows.items()}
-    to = F.greatest(F.lit(-1), *reaches.values())
-    if history:
-        following = _point(F.lead("_c").over(whole.orderBy("_c")))
-        panes = panes.withColumn("_until", F.coalesce(following - 1, F.col("_last")))
-        to = F.greatest(to, F.col("_until"))
-    panes = panes.withColumns({f"_r_{scope}": reach for scope, reach in reaches.items()})
-    panes = panes.withColumn("_to", F.least(to, F.col("_last"))).filter(F.col("_j") <= F.col("_to"))
-    panes = panes.withColumn("i", F.explode(F.sequence("_j", "_to")))
-    # time of a sample relative to the grid point, value relative to the reference
-    back = (F.col("i") - F.col("_j")) * F.lit(step_s)
-    dev = F.col("_m") - F.col("_ref")
-    panes = panes.select(
-        *group, "i", "_ref", "_n", "_min", "_max", "_fv", "_lv", "_fs", "_ls",
-        *[f"_r_{scope}" for scope in windows], *(["_until"] if history else []),
-        (F.col("_n") * dev).alias("_d"),
-        (F.col("_m2") + F.col("_n") * dev * dev).alias("_dd"),
-        (F.col("_su") - F.col("_n") * back).alias("_x"),
-        (F.col("_suu") - 2 * back * F.col("_su") + F.col("_n") * back * back).alias("_xx"),
-        (F.col("_cuv") + F.col("_su") * dev - back * F.col("_n") * dev).alias("_xd"),
-    )
+    form = _merged if windows and max(windows.values()) > WIDE_STEPS else _repeated
+    panes, seen, newest = form(panes, group, step_us, windows, closed, history)
+    if points is not None:
+        panes = panes.join(points.select(*keys, "i"), [*keys, "i"], "left_semi")
     aggs = [F.max("_ref").alias("_ref")]
     for scope in windows:
-        seen = F.col("i") <= F.col(f"_r_{scope}")
 
-        def own(col: str, seen=seen) -> Column:
-            return F.when(seen, F.col(col))
+        def own(col: str, here=seen[scope]) -> Column:
+            return F.when(here, F.col(col))
 
         aggs += [F.sum(own(f"_{t}")).alias(f"_{scope}_{t}") for t in ("n", "d", "dd", "x", "xx", "xd")]
         aggs += [
@@ -154,7 +249,6 @@ def grid_windows(
             F.min(own("_fs")).alias(f"_{scope}_fs"), F.max(own("_ls")).alias(f"_{scope}_ls"),
         ]
     if history:
-        newest = F.col("i") <= F.col("_until")
         aggs += [
             F.max(F.when(newest, F.col("_lv"))).alias("history_last"),
             F.max(F.when(newest, F.col("_ls"))).alias("history_offset_us"),

@@ -23,8 +23,10 @@ def same(a, b):
     return (a is None and b is None) or (a is not None and b is not None and math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-7))
 
 
+@pytest.mark.parametrize("wide_steps", [64, 1])
 @pytest.mark.parametrize("closed", [False, True])
-def test_windows_match_direct_evaluation(spark, closed):
+def test_windows_match_direct_evaluation(spark, monkeypatch, closed, wide_steps):
+    monkeypatch.setattr(grids, "WIDE_STEPS", wide_steps)
     rng = random.Random(11)
     rows, last = [], {}
     for k in range(4):
@@ -73,7 +75,25 @@ def test_constant_values_have_no_spread(spark):
     assert [(r.w_std, r.w_slope_linfit) for r in out if r.w_n >= 3] == [(0.0, 0.0)]
 
 
-def test_slope_far_from_origin(spark):
+def test_merged_windows_with_history_and_chosen_points(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, "x", round(rng.random() * 80 * H, 3), rng.random()) for k in range(3) for _ in range(40)]
+    df = sample_table(spark, rows, {k: 80 for k in range(3)})
+    args = (["k"], hour_us, {"a": 2, "b": 9})
+    repeated = {(r.k, r.i): r for r in grids.grid_windows(df, *args, history=True).collect()}
+    points = spark.createDataFrame([(k, i) for k in range(3) for i in range(0, 81, 7)], "k int, i long")
+    monkeypatch.setattr(grids, "WIDE_STEPS", 1)
+    merged = {(r.k, r.i): r for r in grids.grid_windows(df, *args, history=True).collect()}
+    assert merged.keys() == repeated.keys()
+    for key, row in merged.items():
+        assert all(same(a, b) for a, b in zip(row[3:], repeated[key][3:])), (row, repeated[key])
+    chosen = {(r.k, r.i): r for r in grids.grid_windows(df, *args, history=True, points=points).collect()}
+    assert chosen == {key: row for key, row in merged.items() if key[1] % 7 == 0}
+
+
+@pytest.mark.parametrize("wide_steps", [64, 1])
+def test_slope_far_from_origin(spark, monkeypatch, wide_steps):
+    monkeypatch.setattr(grids, "WIDE_STEPS", wide_steps)
     start = 5 * 365 * 24 * H
     rows = [(1, "x", start + 60.0 * t, 100 + 0.25 * t) for t in range(120)]
     out = {r.i: r for r in grids.grid_windows(sample_table(spark, rows, {1: 5 * 365 * 24 + 2}), ["k"], hour_us, {"w": 3}).collect()}
