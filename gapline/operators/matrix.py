@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapline.functions.scalar import hash_rank, matrix_float, nan_to_null
-from gapline.operators.blocks import block_rank, exact_quantile, first_in_blocks, hash_block, one_row
+from gapline.operators.blocks import block_rank, first_in_blocks, hash_block, one_row
+from gapline.operators.quantiles import column_statistics
 
 
 # ---------------------------------------------------------------- cells and columns
@@ -43,28 +45,42 @@ def add_missing_mask(df: DataFrame, features: Sequence[str], suffix: str = "_mis
 
 
 # ---------------------------------------------------------------- imputation and scaling
-def fit_scaler(df: DataFrame, features: Sequence[str], least_std: float = 1e-8) -> DataFrame:
-    """(feature, median, mean, std): median of the values, mean and population std after filling with it.
+def fit_scalers(df: DataFrame, features: Sequence[str], fold: str | None = None, least_std: float = 1e-8, work=None) -> DataFrame:
+    """(fold, feature, median, mean, std): median of the values, mean and population std after filling with it.
 
-    Filled moments follow from the moments of the values and the number of nulls, so
-    the data is not filled for the fit; medians are exact and distributed.
+    With `fold`, each fold gets the fit of all rows outside it.  Two scans fit all features of all folds: medians are
+    exact, and filled moments follow from the moments of the values and the number of nulls.  The result is a small table
+    of constants, one row per fold and feature, so it is not fitted again on every use and can be stored.
     """
-    long = long_features(df, features)
-    medians = exact_quantile(long, ["feature"], "value", 0.5, "median")
-    sums = long.groupBy("feature").agg(
-        F.count(F.lit(1)).cast("double").alias("_all"), F.count("value").cast("double").alias("_n"),
-        F.avg("value").alias("_m"), F.var_pop("value").alias("_v"),
-    )
-    rows = sums.join(medians, "feature", "left")
-    holes = F.col("_all") - F.col("_n")
-    mean = (F.col("_n") * F.coalesce("_m", F.lit(0.0)) + holes * F.coalesce("median", F.lit(0.0))) / F.col("_all")
-    rows = rows.withColumn("mean", mean)
-    spread = (
-        F.col("_n") * (F.col("_v") + (F.col("_m") - F.col("mean")) ** 2)
-        + holes * (F.col("median") - F.col("mean")) ** 2
-    ) / F.col("_all")
-    std = F.sqrt(spread)
-    return rows.select("feature", "median", "mean", F.when(std < least_std, 1.0).otherwise(std).alias("std"))
+    fitted = []
+    for s in column_statistics(df, features, 0.5, fold, work):
+        holes, median = s["rows"] - s["n"], s["quantile"]
+        mean = std = None
+        if s["n"]:
+            mean = (s["n"] * s["mean"] + holes * median) / s["rows"]
+            spread = s["n"] * (s["variance"] + (s["mean"] - mean) ** 2) + holes * (median - mean) ** 2
+            std = math.sqrt(spread / s["rows"])
+        else:
+            mean = 0.0
+        fitted.append((s["fold"] if fold else None, s["column"], median, mean, None if std is None else 1.0 if std < least_std else std))
+    kind = df.schema[fold].dataType.simpleString() if fold else "int"
+    table = df.sparkSession.createDataFrame(fitted, f"fold {kind}, feature string, median double, mean double, std double")
+    return table if fold else table.drop("fold")
+
+
+def fit_scaler(df: DataFrame, features: Sequence[str], least_std: float = 1e-8) -> DataFrame:
+    """(feature, median, mean, std) of all rows."""
+    return fit_scalers(df, features, None, least_std)
+
+
+def apply_fold_scalers(df: DataFrame, scalers: DataFrame, features: Sequence[str], fold: str = "fold") -> DataFrame:
+    """Fill and scale the rows of every fold by the fit of the other folds."""
+    fit = [F.max(F.when(F.col("feature") == c, F.struct("median", "mean", "std"))).alias(f"f{i}") for i, c in enumerate(features)]
+    per = scalers.groupBy(F.col("fold").alias(fold)).agg(*fit)
+    per = per.select(fold, F.struct(*[f"f{i}" for i in range(len(features))]).alias("_fit"))
+    new = {c: (F.coalesce(F.col(f"`{c}`").cast("double"), F.col(f"_fit.f{i}.median")) - F.col(f"_fit.f{i}.mean")) / F.col(f"_fit.f{i}.std") for i, c in enumerate(features)}
+    wide = df.join(per, fold)
+    return wide.select(*[F.col(f"`{c}`") for c in df.columns if c not in new], *[x.alias(c) for c, x in new.items()])
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, features: Sequence[str], standardize: bool = True) -> DataFrame:
@@ -85,8 +101,7 @@ def median_fill(df: DataFrame, features: Sequence[str], fit_on: DataFrame | None
     """Infinite values to null, nulls to the median of the fitted rows, float precision."""
     clean = df.select(*[matrix_float(f"`{c}`").alias(c) if c in features else F.col(f"`{c}`") for c in df.columns])
     source = clean if fit_on is None else project_matrix(fit_on, features)
-    medians = exact_quantile(long_features(source, features), ["feature"], "value", 0.5, "median")
-    return apply_scaler(clean, medians.withColumn("mean", F.lit(0.0)).withColumn("std", F.lit(1.0)), features, False)
+    return apply_scaler(clean, fit_scalers(source, features), features, False)
 
 
 # ---------------------------------------------------------------- classes

@@ -45,14 +45,9 @@ def score(model, df: DataFrame, features: Sequence[str], out: str = "score") ->
     )
 
 
-def fitted_table(scaler: DataFrame) -> DataFrame:
-    """The fitted scaler as a table of constants: one row per feature, so that it is not fitted again on every use."""
-    return scaler.sparkSession.createDataFrame(scaler.collect(), scaler.schema)
-
-
 def prepare(train: DataFrame, rows: DataFrame, features: Sequence[str], mask: bool = True):
     """Filled and scaled training rows and other rows, fitted on the training rows alone; and the feature names."""
-    scaler = fitted_table(fit_scaler(train, features))
+    scaler = fit_scaler(train, features)
     names = [*features, *([f"{c}_missing" for c in features] if mask else [])]
 
     def ready(df: DataFrame) -> DataFrame:

@@ -538,11 +538,8 @@ def fold_imputation(spark, d):
     """Each fold's validation rows, filled and scaled by what its training rows alone have shown."""
     names = ["price", "quantity"]
     rows = matrix.group_folds(_flawed(spark, d).select("l_orderkey", "l_linenumber", *names), ["l_orderkey"], 3)
-    parts = []
-    for fold in range(3):
-        _, rest, _ = models.prepare(rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold), names)
-        parts.append(rest)
-    out = reshape.union_all(parts)
+    scalers = matrix.fit_scalers(rows, names, "fold")
+    out = matrix.apply_fold_scalers(matrix.add_missing_mask(rows, names), scalers, names)
     return out.withColumns({c: F.round(c, 5) for c in names} | {f"{c}_missing": F.col(f"{c}_missing").cast("double") for c in names})
 
 
