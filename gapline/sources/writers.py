@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gapline.sources.versions import find_version, fingerprint, read_version, write_version
+
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
     writer = df.write.mode("overwrite")
@@ -39,16 +41,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def materialize(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """A stored step: read it if the same plan was stored here completely, else write it and read it back.
+    """A stored step: read the version that the same plan on the same files has stored here, else write one and read it.
 
-    The folder's name carries a fingerprint of the plan (inputs, settings and operators), so another plan under the same
-    path is another step.  The written table cuts the lineage and survives lost executors.
+    The manifest of a version carries the fingerprint of the plan (inputs, settings and operators) and of its input files
+    (path, length, time), so a changed input or another plan under the same path is never answered from an old step.  The
+    written table cuts the lineage and survives lost executors.
     """
     made = make()
-    path = f"{path.rstrip('/')}-{made.semanticHash() & 0xFFFFFFFF:08x}"
-    if force or not exists(spark, f"{path}/_SUCCESS"):
-        write_parquet(made, path)
-    return spark.read.parquet(path)
+    mark = fingerprint(made)
+    version = None if force else find_version(spark, path, mark)
+    if version is None:
+        version = write_version(spark, made, path, mark)
+    return read_version(spark, path, version)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -60,8 +64,8 @@ def remove(spark: SparkSession, path: str) -> None:
 def replace_parquet(spark: SparkSession, df: DataFrame, path: str) -> str:
     """Write beside the target, move the old table aside, move the new one in, then delete the old one.
 
-    A table is complete whenever it is there, and a failure puts the old one back.  Between the two renames a reader
-    may find none; a store without renames needs a table format instead.
+    For tables that other programs read as a plain folder.  A table is complete whenever it is there, and a failure puts
+    the old one back, but between the two renames a reader may find none; `versions.write_version` has no such moment.
     """
     path = path.rstrip("/")
     mark = uuid.uuid4().hex

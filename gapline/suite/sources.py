@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gapline.session import shared_folder
-from gapline.sources import readers, writers
+from gapline.sources import readers, versions, writers
 from gapline.suite.registry import query, table
 
 
@@ -92,7 +92,7 @@ def column_list_file(spark, d):
 
 @query("S14 S16 S17", """SELECT l_suppkey, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_suppkey""")
 def stored_step(spark, d):
-    """A step is made once, read from its files the second time, and can be replaced."""
+    """A step is made once, read from its files the second time, and can be replaced as a folder or as a new version."""
     base = shared_folder(spark)
 
     def make():
@@ -101,7 +101,10 @@ def stored_step(spark, d):
     first = writers.materialize(spark, f"{base}/step.parquet", make)
     again = writers.materialize(spark, f"{base}/step.parquet", make)
     assert first.inputFiles() == again.inputFiles()
-    return spark.read.parquet(writers.replace_parquet(spark, again, f"{base}/final.parquet"))
+    plain = spark.read.parquet(writers.replace_parquet(spark, again, f"{base}/final.parquet"))
+    versions.write_version(spark, plain.filter("l_suppkey < 0"), f"{base}/table")
+    versions.write_version(spark, versions.read_version(spark, f"{base}/table").unionByName(plain), f"{base}/table")
+    return versions.read_version(spark, f"{base}/table")
 
 
 @query("S19 S20", """SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY c_mktsegment""")

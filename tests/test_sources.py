@@ -1,7 +1,7 @@
 import pytest
 
 from gapline.session import shared_folder
-from gapline.sources import readers, writers
+from gapline.sources import readers, versions, writers
 from tests.helpers import at, times
 
 
@@ -67,6 +67,35 @@ def test_stored_step_runs_once(spark, folder):
     assert writers.materialize(spark, f"{folder}/step", lambda: spark.range(5)).count() == 5
 
 
+def test_stored_step_sees_a_changed_input(spark, folder):
+    source = writers.write_parquet(spark.range(5), f"{folder}/in")
+    make = lambda: spark.read.parquet(source).where("id >= 0")
+    assert writers.materialize(spark, f"{folder}/changed", make).count() == 5
+    writers.write_parquet(spark.range(9), source)
+    assert writers.materialize(spark, f"{folder}/changed", make).count() == 9
+    assert versions.versions(spark, f"{folder}/changed") == [1, 2]
+
+
+def test_versions_are_whole_and_never_lost(spark, folder):
+    path = f"{folder}/table"
+    with pytest.raises(FileNotFoundError):
+        versions.read_version(spark, path)
+    assert versions.write_version(spark, spark.range(2), path) == 1
+    old = versions.read_version(spark, path)
+    # a new version is made from the old one, while readers still hold that
+    assert versions.write_version(spark, old.where("id = 1"), path) == 2
+    assert (old.count(), versions.read_version(spark, path).count(), versions.read_version(spark, path, 1).count()) == (2, 1, 2)
+    # a writer that counted before the other one published takes the next number
+    spark.range(7).write.parquet(f"{path}/data-late")
+    assert versions._publish(spark, path, {"data": "data-late", "fingerprint": None}, 2) == 3
+    assert versions.read_version(spark, path).count() == 7 and versions.read_version(spark, path, 2).count() == 1
+    # a writer that dies before publishing changes nothing
+    spark.range(1).write.parquet(f"{path}/data-lost")
+    assert versions.read_version(spark, path).count() == 7
+    versions.prune(spark, path, 1)
+    assert versions.versions(spark, path) == [3] and versions.read_version(spark, path).count() == 7
+
+
 def test_replace_swaps_the_table(spark, folder):
     path = f"{folder}/t.parquet"
     writers.replace_parquet(spark, spark.range(2), path)
