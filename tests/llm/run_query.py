@@ -1,5 +1,6 @@
 """Development helper: `python -m tests.llm.run_query NAME [sf_dir]` compares one query with its SQL check."""
 
+import os
 import sys
 import time
 
@@ -20,7 +21,9 @@ def compare(spark, name, sf_dir):
         return True, f"{len(got[1])} rows, no SQL, {took:.1f}s, first {got[1][:2]}"
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        at = f"{sf_dir}/{t}.parquet"
+        if os.path.exists(at):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}{'/*.parquet' if os.path.isdir(at) else ''}'")
     cur = con.execute(sql)
     want = rows_of([c[0] for c in cur.description], cur.fetchall())
     if got == want:

@@ -4,7 +4,7 @@ import os
 
 NAMES = ("documents", "benchmark", "labels", "conversations")
 #: Columns that carry names the operators use inside.
-CLASHING = ("lines", "found", "m", "rules", "stratum", "size", "shard", "slot", "fp", "text_hash", "row_id", "value", "doc", "pieces", "component_id", "_at", "_limits", "ids", "n_tokens")
+CLASHING = ("lines", "found", "m", "rules", "stratum", "size", "shard", "slot", "fp", "text_hash", "row_id", "value", "doc", "pieces", "component_id", "_at", "_limits", "ids", "n_tokens", "g", "pos", "path", "leaf", "root", "node", "sig", "n", "row", "ws", "word", "score")
 LONG = " ".join(f"w{i * 7919 % 5000}" for i in range(60_000))
 PASSAGE = " ".join(f"p{i}" for i in range(55))
 SOURCE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
@@ -33,10 +33,10 @@ def conversations():
 
 
 def write(spark, folder, empty=False):
-    docs = [] if empty else [(*d, *[7] * len(CLASHING)) for d in documents()]
+    docs = [] if empty else [(*d, None if i % 5 == 2 else len(d[1] or ""), *[7] * len(CLASHING)) for i, d in enumerate(documents())]
     extra = ", ".join(f"{c} long" for c in CLASHING)
     rows = {
-        "documents": (docs, f"doc_id long, text string, lang string, source string, {extra}"),
+        "documents": (docs, f"doc_id long, text string, lang string, source string, n_chars long, {extra}"),
         "benchmark": ([] if empty else [(0, SOURCE), (0, SOURCE), (1, None), (2, "plain words only"), (None, "tail"), (3, "")], "item_id long, text string"),
         "labels": ([] if empty else [(0, 1, 0), (0, 0, 0), (4, 1, 0), (None, 1, 1), (99, 0, 0), (5, None, None)], "doc_id long, quality long, toxic long"),
         "conversations": ([] if empty else conversations(), "conv_id long, turn long, role string, text string"),
