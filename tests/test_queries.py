@@ -24,3 +24,22 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_an_optional_dependency(monkeypatch):
+    import builtins
+    import sys
+
+    import __spark_entry__ as entry
+
+    real = builtins.__import__
+
+    def hidden(name, *args, **kwargs):
+        if name.startswith("gapline.llm") or name == "corpus_pipeline":
+            raise ImportError(name)
+        return real(name, *args, **kwargs)
+
+    for name in [m for m in sys.modules if m.startswith("gapline.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setattr(builtins, "__import__", hidden)
+    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == {n for n, q in QUERIES.items() if q.sql}
