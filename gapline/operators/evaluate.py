@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gapline.operators.blocks import range_block, running_sum
+from gapline.operators.blocks import neighbours, range_block, running_sum
 from gapline.operators.matrix import long_features
 
 
@@ -28,9 +28,34 @@ def cumulative_counts(df: DataFrame, label: str, score: str, keys: Sequence[str]
     return sums.drop("_down", "_block")
 
 
-def roc_points(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    """False and true positive rate per threshold, with the (0, 0) point at an infinite one."""
+def bends(counts: DataFrame, keys: Sequence[str], rule: str = "steps") -> DataFrame:
+    """Points of a curve where it changes, from `score_counts`; a key's first and last point stay.
+
+    `steps`: the step to the next point is another one than the step to this (the usual rule of curve drawing, which
+    keeps points of a straight stretch with uneven steps).  `slopes`: the direction changes, compared by a product of
+    whole numbers, so only corners stay.  Neighbours come from score ranges and their edges, never from one window.
+    """
+    if rule not in ("steps", "slopes"):
+        raise ValueError(f"unknown rule {rule}")
+    blocked = range_block(counts.withColumn("_down", -F.col("score")), "_down")
+    rows = neighbours(blocked, keys, "_block", "_down", ["pos", "neg"])
+    if rule == "steps":
+        same = (F.col("pos") == F.col("_next.pos")) & (F.col("neg") == F.col("_next.neg"))
+    else:
+        wide = [F.col(c).cast("decimal(19,0)") for c in ("pos", "_next.neg", "neg", "_next.pos")]
+        same = wide[0] * wide[1] == wide[2] * wide[3]
+    edge = F.col("_prev").isNull() | F.col("_next").isNull()
+    return rows.filter(edge | ~same).select(*keys, "score")
+
+
+def roc_points(df: DataFrame, label: str, score: str, keys: Sequence[str] = (), simplify: str | None = None) -> DataFrame:
+    """False and true positive rate per threshold, with the (0, 0) point at an infinite one.
+
+    `simplify` names a rule of `bends`; all distinct thresholds stay without it.
+    """
     c = cumulative_counts(df, label, score, keys)
+    if simplify:
+        c = c.join(bends(c.select(*keys, "score", "pos", "neg"), keys, simplify), [*keys, "score"])
     points = c.select(
         *keys, F.col("score").alias("threshold"),
         F.try_divide(F.col("fp").cast("double"), F.col("fp_total")).alias("fpr"),

@@ -211,6 +211,53 @@ def group_folds(df: DataFrame, group: Sequence[str], k: int = 5, seed: int = 42,
     return rows.join(ranked.select("_group", fold.cast("int").alias(out)), "_group").drop("_group")
 
 
+def deal_runs(runs: Sequence[tuple[int, int]], k: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+    """Runs of (size, number of groups), largest size first, dealt to the lightest fold first; ties to the lowest fold.
+
+    Inside a run the j-th group goes to the fold of the j-th smallest of all (load + t * size, fold).  In whole sizes
+    a fold with load q * size + r takes part from level q on, and a level is taken in the order of (r, fold): so a run
+    is a few stretches, at most k, in which the same folds take turns.  Per run: (start, folds in turn) of each.
+    """
+    loads = [0] * k
+    plan = []
+    for size, many in runs:
+        levels = [(load // size, load % size, f) for f, load in enumerate(loads)]
+        starts = sorted({q for q, _, _ in levels})
+        at, stretches = 0, []
+        for level, following in zip(starts, [*starts[1:], None]):
+            turn = [f for _, f in sorted((r, f) for q, r, f in levels if q <= level)]
+            room = many - at if following is None else min(many - at, (following - level) * len(turn))
+            if room > 0:
+                stretches.append((at, turn))
+                rounds, rest = divmod(room, len(turn))
+                for place, f in enumerate(turn):
+                    loads[f] += size * (rounds + (place < rest))
+                at += room
+        plan.append((size, stretches))
+    return plan
+
+
+def greedy_folds(df: DataFrame, group: Sequence[str], k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
+    """Fold number per row; groups stay together, and each goes to the lightest fold so far, largest groups first.
+
+    Groups of one size follow each other by hash.  Only one (size, number) pair per distinct size reaches the driver,
+    at most sqrt(2 * rows) of them; loads are carried from size to size, never from group to group.  A null in the
+    group columns is a value like any other.
+    """
+    rows = df.withColumn("_group", _group_text(group))
+    sizes = rows.groupBy("_group", *group).agg(F.count(F.lit(1)).alias("_size"))
+    runs = sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()
+    plan = deal_runs(sorted(((r["_size"], r["n"]) for r in runs), reverse=True), k)
+    dealt = df.sparkSession.createDataFrame(plan, "_size long, _turns array<struct<at: long, folds: array<int>>>")
+    sizes = sizes.withColumn("_hash", hash_rank(seed, *group)).withColumn("_block", hash_block("_hash"))
+    ranked = block_rank(sizes, ["_size"], "_block", ["_hash", *group], "_inside").join(dealt, "_size")
+    place = F.col("_inside") - 1
+    turn = F.element_at(F.filter("_turns", lambda t: t["at"] <= place), -1)
+    ranked = ranked.withColumn("_turn", turn)
+    fold = F.get("_turn.folds", F.pmod(place - F.col("_turn.at"), F.size("_turn.folds")).cast("int"))
+    return rows.join(ranked.select("_group", fold.alias(out)), "_group").drop("_group")
+
+
 def dataset_summary(df: DataFrame, entity: str, episode: Sequence[str], label: str) -> DataFrame:
     """Rows, positives, their share, entities and episodes.
 
