@@ -187,5 +187,9 @@ class TrainingSettings:
     depth: int = 5
     step: float = 0.05
     subsample: float = 0.8
+    columns: float = 0.8
+    l2: float = 1.0
+    child_weight: float = 8.0
+    bins: int = 256
     threshold: float = 0.5
     even_classes: bool = False

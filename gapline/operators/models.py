@@ -11,9 +11,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from gapline.functions.scalar import hash_rank
+from gapline.operators.boosting import BoostedTrees, fit_boosted
 from gapline.operators.blocks import block_rank, hash_block, one_row
 from gapline.operators.evaluate import ranking_metrics, threshold_metrics
-from gapline.operators.matrix import add_missing_mask, apply_scaler, class_weights, downsample_even, fit_scaler, group_folds
+from gapline.operators.matrix import add_missing_mask, apply_scaler, class_weights, downsample_even, fit_scaler, greedy_folds, group_folds
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "_x") -> DataFrame:
@@ -56,16 +57,31 @@ def prepare(train: DataFrame, rows: DataFrame, features: Sequence[str], mask: bo
     return ready(train), ready(rows), names
 
 
+def boosted_learner(label: str, ids: Sequence[str], store: Callable[[DataFrame, str], DataFrame] | None = None,
+                    **settings) -> Callable[[DataFrame, Sequence[str]], BoostedTrees]:
+    """A learner of second-order trees on unfilled features; positives weigh as many times as negatives outnumber them."""
+
+    def learn(train: DataFrame, features: Sequence[str]) -> BoostedTrees:
+        weight = class_weights(train, label).first()
+        return fit_boosted(train, features, label, ids, pos_weight=weight["pos_weight"] if weight else 1.0, store=store, **settings)
+
+    return learn
+
+
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, group: Sequence[str], k: int = 5,
                    seed: int = 42, even: bool = False, ids: Sequence[str] = (), threshold: float = 0.5,
-                   fill: bool = False, store: Callable[[DataFrame, str], DataFrame] | None = None, **trees):
+                   fill: bool = False, store: Callable[[DataFrame, str], DataFrame] | None = None,
+                   learner: Callable[[DataFrame, Sequence[str]], Callable[[DataFrame], DataFrame]] | None = None,
+                   greedy: bool = False, **trees):
     """(best model, validation scores with `fold`, metrics per fold): one fit per group fold, best ROC area kept.
 
     With `fill`, medians, means and deviations come from each fold's own training rows, after they are balanced, and
     missing flags are added; validation rows shape nothing.  `store(table, name)` keeps tables that are read often.
+    `learner(training rows, features)` returns a model that adds `score` to a table, in the place of the weighted trees
+    of Spark ML.  `greedy` deals each group to the lightest fold.
     """
     keep = store or (lambda table, _: table)
-    folded = keep(group_folds(df, group, k, seed), "folds")
+    folded = keep((greedy_folds if greedy else group_folds)(df, group, k, seed), "folds")
     fits, parts = [], []
     for fold in range(k):
         train, rest = folded.filter(F.col("fold") != fold).drop("fold"), folded.filter(F.col("fold") == fold)
@@ -74,9 +90,14 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, group: Se
         names = list(features)
         if fill:
             train, rest, names = prepare(train, rest, features)
-        model = fit_trees(keep(weight_rows(train, label), f"train{fold}"), names, label, seed=seed, **trees)
+        if learner:
+            model = learner(keep(train, f"train{fold}"), names)
+            scored = model(rest)
+        else:
+            model = fit_trees(keep(weight_rows(train, label), f"train{fold}"), names, label, seed=seed, **trees)
+            scored = score(model, rest, names)
         fits.append(model)
-        parts.append(score(model, rest, names).select(*df.columns, "fold", "score"))
+        parts.append(scored.select(*df.columns, "fold", "score"))
     scores = keep(reduce(DataFrame.unionByName, parts), "scores")
     metrics = keep(
         ranking_metrics(scores, label, "score", ["fold"]).join(threshold_metrics(scores, label, "score", threshold, ["fold"]), "fold"), "metrics"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gapline.config import ENTITY, TrainingSettings
-from gapline.operators import evaluate, labels, matrix, models
+from gapline.operators import boosting, evaluate, labels, matrix, models
 from gapline.plans import training as plan
 from gapline.suite.registry import query, table
 from gapline.suite.snapshots import TIMELINE_SQL, wide_timeline
@@ -330,6 +330,17 @@ def group_kfold(spark, d):
     return matrix.group_folds(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"])
 
 
+@query("M04", """WITH RECURSIVE g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey),
+r AS (SELECT o_custkey, n, row_number() OVER (ORDER BY n DESC, md5(concat_ws('|', '42', o_custkey)), o_custkey) AS k FROM g),
+deal AS (SELECT 0::BIGINT AS k, 0 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads
+  UNION ALL SELECT k + 1, place - 1, list_transform(range(1, 6), lambda i: loads[i] + CASE WHEN i = place THEN n ELSE 0 END)
+  FROM (SELECT deal.k, r.n, deal.loads, list_position(deal.loads, list_min(deal.loads)) AS place FROM deal JOIN r ON r.k = deal.k + 1))
+SELECT o_orderkey, o.o_custkey, CAST(fold AS INT) AS fold FROM orders o JOIN r USING (o_custkey) JOIN deal USING (k)""")
+def greedy_kfold(spark, d):
+    """Customers, those with most orders first, each to the fold with the fewest orders so far."""
+    return matrix.greedy_folds(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"])
+
+
 # ------------------------------------------------------------------ evaluation
 SCORE_SQL = """s AS (SELECT l.doc_id, l.quality AS y, (d.n_chars % 97) / 97.0::DOUBLE AS score FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
 CURVE_SQL = f"""{SCORE_SQL},
@@ -357,6 +368,22 @@ def roc_points(spark, d):
     return out.select(r9(F.least("threshold", F.lit(2.0))).alias("threshold"), "fpr", "tpr")
 
 
+@query("M13", f"""WITH {CURVE_SQL}, x AS (SELECT *, lag(score) OVER w AS before, lead(pos) OVER w AS pos1, lead(neg) OVER w AS neg1 FROM cu WINDOW w AS (ORDER BY score DESC))
+SELECT round(score, 9) AS threshold, fp / n AS fpr, tp / p AS tpr FROM x WHERE before IS NULL OR pos1 IS NULL OR pos <> pos1 OR neg <> neg1 UNION ALL SELECT 2.0, 0.0, 0.0""")
+def roc_steps(spark, d):
+    """The curve without points between two equal steps."""
+    out = evaluate.roc_points(scores(spark, d), "y", "score", simplify="steps")
+    return out.select(r9(F.least("threshold", F.lit(2.0))).alias("threshold"), "fpr", "tpr")
+
+
+@query("M13", f"""WITH {CURVE_SQL}, x AS (SELECT *, lag(score) OVER w AS before, lead(pos) OVER w AS pos1, lead(neg) OVER w AS neg1 FROM cu WINDOW w AS (ORDER BY score DESC))
+SELECT round(score, 9) AS threshold, fp / n AS fpr, tp / p AS tpr FROM x WHERE before IS NULL OR pos1 IS NULL OR pos * neg1 <> neg * pos1 UNION ALL SELECT 2.0, 0.0, 0.0""")
+def roc_corners(spark, d):
+    """The curve's corners alone."""
+    out = evaluate.roc_points(scores(spark, d), "y", "score", simplify="slopes")
+    return out.select(r9(F.least("threshold", F.lit(2.0))).alias("threshold"), "fpr", "tpr")
+
+
 @query("M14", f"""WITH {CURVE_SQL} SELECT round(score, 9) AS threshold, tp / (tp + fp) AS precision, tp / p AS recall FROM cu UNION ALL SELECT NULL, 1.0, 0.0""")
 def pr_points(spark, d):
     out = evaluate.pr_points(scores(spark, d), "y", "score")
@@ -416,9 +443,6 @@ def _whole_weights(rows, names):
 
 
 _linear_sql = " + ".join(f"floor(embedding[{i + 1}]::DOUBLE * 1000) * {i % 7 - 3}" for i in range(WIDTH))
-_ap_sql = """k AS (SELECT {keys}score, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY {keys}score),
-cu AS (SELECT *, sum(pos) OVER (PARTITION BY {part} ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY {part} ORDER BY score DESC) AS fp,
-  sum(pos) OVER (PARTITION BY {part}) AS p, sum(neg) OVER (PARTITION BY {part}) AS n FROM k)"""
 
 
 @query("M07 M08 M16 A23")
@@ -429,6 +453,108 @@ def trees_cross_validated(spark, d):
     return metrics
 
 
+# ------------------------------------------------------------------ boosted trees on gaps
+_ap_sql = """k AS (SELECT {keys}score, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY {keys}score),
+cu AS (SELECT *, sum(pos) OVER (PARTITION BY {part} ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY {part} ORDER BY score DESC) AS fp,
+  sum(pos) OVER (PARTITION BY {part}) AS p, sum(neg) OVER (PARTITION BY {part}) AS n FROM k)"""
+TREE_CUTS = {"quantity": range(1, 51), "discount": range(1, 11), "tax": range(1, 9)}
+_parts_sql = """lines AS (SELECT l_orderkey, l_linenumber, CAST(l_returnflag = 'R' AS INT) AS y, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS quantity,
+  CASE WHEN l_linenumber % 5 <> 0 THEN round(l_discount * 100) END AS discount, round(l_tax * 100) AS tax FROM lineitem)"""
+
+
+def _returned_lines(spark, d):
+    """Line items with holes and whether they came back; all features are whole numbers."""
+    n = F.col("l_linenumber")
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("y"),
+        F.when(n % 3 != 0, F.col("l_quantity")).cast("double").alias("quantity"),
+        F.when(n % 5 != 0, F.round(F.col("l_discount") * 100)).alias("discount"), F.round(F.col("l_tax") * 100).alias("tax"),
+    )
+
+
+def _level_sql(name: str, rows: str) -> str:
+    """Best cut per node of rows (node, g, h in units of 2^-20, features); missing values on either side."""
+    u = " UNION ALL ".join(
+        f"SELECT node, {i} AS f, '{c}' AS feature, {max(cuts)} AS top, {c} AS v, g, h FROM {rows}" for i, (c, cuts) in enumerate(TREE_CUTS.items())
+    )
+    each = ", ".join(f"sum({x}) OVER (PARTITION BY node, f) AS {x}a, sum({x}) OVER (PARTITION BY node, f ORDER BY v NULLS FIRST) AS {x}w, "
+                     f"coalesce(sum({x}) FILTER (WHERE v IS NULL) OVER (PARTITION BY node, f), 0) AS {x}m" for x in "ghn")
+    left = ", ".join(f"({x}w - CASE WHEN ml THEN 0 ELSE {x}m END) AS {x}i" for x in "ghn")
+    real = ", ".join(f"{x}i::DOUBLE / 1048576 AS {x}l, ({x}a - {x}i)::DOUBLE / 1048576 AS {x}r, {x}a::DOUBLE / 1048576 AS {x}" for x in "gh")
+    return f"""{name}k AS (SELECT node, f, feature, top, v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM ({u}) GROUP BY ALL),
+{name}s AS (SELECT node, f, feature, top, v, ml, {real}, na AS n, ni AS nl, na - ni AS nr FROM (SELECT *, {left} FROM (SELECT node, f, feature, top, v, {each} FROM {name}k), (SELECT unnest([FALSE, TRUE]) AS ml))),
+{name} AS (SELECT *, gl * gl / (hl + 1) + gr * gr / (hr + 1) - g * g / (h + 1) AS gain, CASE WHEN v = top THEN 'inf'::DOUBLE ELSE v + 1 END AS cut FROM {name}s
+  WHERE v IS NOT NULL AND nl > 0 AND nr > 0 AND least(hl, hr) >= 8
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gl * gl / (hl + 1) + gr * gr / (hr + 1) - g * g / (h + 1) DESC, f, v, ml) = 1 AND gain > 0)"""
+
+
+def _tree_sql(depth: int) -> str:
+    """A tree with positives of weight 2: t0, t1, ... are the cuts by level, r{depth} the rows in the last nodes, `cuts` and `leaves`."""
+    value = "CASE feature " + " ".join(f"WHEN '{c}' THEN {c}" for c in TREE_CUTS) + " END"
+    text = [f"""{_parts_sql}, r0 AS (SELECT 0 AS node, *, CASE WHEN y = 1 THEN -1048576 ELSE 524288 END AS g, CASE WHEN y = 1 THEN 524288 ELSE 262144 END AS h FROM lines)"""]
+    for i in range(depth):
+        text.append(_level_sql(f"t{i}", f"r{i}"))
+        text.append(f"""r{i + 1} AS (SELECT CASE WHEN CASE WHEN {value} IS NULL THEN ml ELSE {value} < cut END THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node, {", ".join(f"r.{c}" for c in TREE_CUTS)}, r.g, r.h
+  FROM r{i} r JOIN t{i} t ON t.node = r.node)""")
+    text.append("cuts AS (" + " UNION ALL ".join(f"SELECT node, feature, cut, ml, gain, h, n FROM t{i}" for i in range(depth)) + ")")
+    text.append("leaves AS (" + " UNION ALL ".join(
+        f"SELECT node, sum(g)::DOUBLE / 1048576 AS g, sum(h)::DOUBLE / 1048576 AS h, count(*) AS n FROM r{i} " + (f"WHERE node NOT IN (SELECT node FROM t{i}) " if i < depth else "") + "GROUP BY node"
+        for i in range(depth + 1)) + ")")
+    return ", ".join(text)
+
+
+def _returned_tree(spark, d):
+    """One tree of depth 3 on all line items."""
+    return boosting.fit_boosted(
+        _returned_lines(spark, d), list(TREE_CUTS), "y", trees=1, depth=3, subsample=1.0, columns=1.0, pos_weight=2.0, cuts=TREE_CUTS
+    )
+
+
+@query("M07 M16", f"""WITH {_tree_sql(3)}
+SELECT 0 AS tree, CAST(node AS INT) AS node, feature, cut, ml AS missing_left, gain, h AS cover, n AS n_rows, 0.0::DOUBLE AS weight FROM cuts
+UNION ALL SELECT 0, CAST(node AS INT), NULL, NULL, NULL, 0.0, h, n, -g / (h + 1) * 0.05::DOUBLE FROM leaves""")
+def boosted_nodes(spark, d):
+    """Node table of a second-order tree on features with gaps: cuts, gains, covers, leaf weights."""
+    return _returned_tree(spark, d).node_table(spark)
+
+
+@query("M16 O06", f"""WITH {_tree_sql(3)} SELECT feature, round(avg(gain), 6) AS gain, count(*)::DOUBLE AS weight, round(avg(h), 6) AS cover, round(sum(gain), 6) AS total_gain, round(sum(h), 6) AS total_cover
+FROM cuts GROUP BY feature""")
+def boosted_importances(spark, d):
+    """Gain, splits and cover per feature, from the nodes of a fitted tree."""
+    out = boosting.importances(_returned_tree(spark, d).node_table(spark))
+    return out.withColumns({c: F.round(c, 6) for c in ("gain", "cover", "total_gain", "total_cover")})
+
+
+@query("M08 M07 A23 M10 M11 M12", f"""WITH {_parts_sql}, g AS (SELECT l_orderkey, count(*) AS n FROM lines GROUP BY l_orderkey),
+o AS (SELECT l_orderkey, row_number() OVER (ORDER BY n DESC, md5(concat_ws('|', '42', l_orderkey)), l_orderkey) - 1 AS k FROM g),
+x AS (SELECT lines.*, CAST(CASE WHEN (k // 3) % 2 = 0 THEN k % 3 ELSE 2 - k % 3 END AS INT) AS fold FROM lines JOIN o USING (l_orderkey)),
+w AS (SELECT a.node, sum(1 - y) / greatest(sum(y), 1) AS w FROM x, (SELECT unnest([0, 1, 2]) AS node) a WHERE x.fold <> a.node GROUP BY a.node),
+r AS (SELECT w.node, {", ".join(TREE_CUTS)}, CAST(round(CASE WHEN y = 1 THEN w ELSE 1.0::DOUBLE END * (0.5::DOUBLE - y) * 1048576) AS BIGINT) AS g,
+  CAST(round(CASE WHEN y = 1 THEN w ELSE 1.0::DOUBLE END * 0.25::DOUBLE * 1048576) AS BIGINT) AS h FROM x JOIN w ON x.fold <> w.node),
+{_level_sql("t", "r")},
+s AS (SELECT x.fold, y, CASE WHEN CASE WHEN v0 IS NULL THEN ml ELSE v0 < cut END THEN -gl / (hl + 1) ELSE -gr / (hr + 1) END AS score
+  FROM (SELECT x.*, t.*, CASE feature {" ".join(f"WHEN '{c}' THEN {c}" for c in TREE_CUTS)} END AS v0 FROM x JOIN t ON t.node = x.fold) x),
+{_ap_sql.format(keys="fold, ", part="fold")},
+m AS (SELECT fold, round(sum(neg * (tp - pos / 2)) / (max(p) * max(n)), 9) AS roc_auc, round(sum(pos * (tp / (tp + fp))) / max(p), 9) AS average_precision FROM cu GROUP BY fold),
+q AS (SELECT fold, count(*) FILTER (WHERE score < 0 AND y = 0) AS tn, count(*) FILTER (WHERE score >= 0 AND y = 0) AS fp, count(*) FILTER (WHERE score < 0 AND y = 1) AS fn,
+  count(*) FILTER (WHERE score >= 0 AND y = 1) AS tp FROM s GROUP BY fold)
+SELECT fold, roc_auc, average_precision, tn, fp, fn, tp, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 9) AS recall,
+  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 9) AS f1, round(tn / nullif(tn + fp, 0), 9) AS specificity, round(tp / nullif(tp + fn, 0), 9) AS sensitivity FROM m JOIN q USING (fold)""")
+def boosted_cross_validated(spark, d):
+    """One cut per fold, fitted and weighted by the fold's training orders alone; all metrics on its validation orders."""
+    from gapline.session import shared_folder
+    from gapline.sources.writers import materialize
+
+    work = shared_folder(spark)
+    learner = models.boosted_learner("y", [], trees=1, depth=1, subsample=1.0, columns=1.0, cuts=TREE_CUTS)
+    _, _, metrics = models.cross_validate(
+        _returned_lines(spark, d), list(TREE_CUTS), "y", ["l_orderkey"], 3, learner=learner,
+        store=lambda made, name: materialize(spark, f"{work}/{name}", lambda: made, force=True),
+    )
+    return metrics.withColumns({c: r9(c) for c in ("roc_auc", "average_precision", "precision", "recall", "f1", "specificity", "sensitivity")})
+
+
 @query("M08 M04 A23 M10 M11", f"""WITH {_vectors_sql},
 g AS (SELECT grp, count(*) AS n FROM v GROUP BY grp),
 r AS (SELECT grp, row_number() OVER (ORDER BY n DESC, md5(concat_ws('|', '42', grp)), grp) - 1 AS k FROM g),
