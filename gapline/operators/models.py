@@ -149,22 +149,30 @@ def fit_fusion(df: DataFrame, label: str, scores: Sequence[str] = ("static_score
 
 
 def permuted(df: DataFrame, ids: Sequence[str], features: Sequence[str], tested: Sequence[str], repeats: int, seed) -> DataFrame:
-    """Every row once for each (feature, turn), with that feature's value taken from another row.
+    """Every row once for each (feature, turn), with that feature's value taken from another row, as a double.
 
     Rows are ranked once by a hash.  In turn t of a feature all its values move on by the same distance in that order,
-    drawn from a hash of feature and turn: a permutation without a fixed row, found by one equality join.
+    drawn from a hash of feature and turn: a permutation without a fixed row.  Each value is sent to the rank that takes
+    it, so one shuffle carries (rank, feature, turn, value); the whole row moves once, to its own rank, and is repeated
+    there, in the task that scores it.
     """
     ranked = df.withColumn("_h", hash_rank(seed, *ids)).withColumn("_block", hash_block("_h"))
     ranked = block_rank(ranked, [], "_block", ["_h", *ids], "_rank", total="_rows").drop("_h", "_block")
-    moves = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(t).alias("turn")) for f in tested for t in range(repeats)])
-    rows = ranked.select("*", F.explode(moves).alias("_m")).select(*ranked.columns, "_m.feature", "_m.turn")
+    values = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in tested])
+    sent = ranked.select("_rank", "_rows", F.explode(values).alias("_v")).select("_rank", "_rows", "_v.*")
+    turns = F.array(*[F.lit(t) for t in range(repeats)])
+    sent = sent.withColumn("turn", F.explode(turns))
     drawn = F.conv(F.substring(hash_rank(seed, F.col("feature"), F.col("turn")), 1, 12), 16, 10).cast("long")
     step = F.pmod(drawn, F.greatest(F.col("_rows") - 1, F.lit(1))) + 1
-    rows = rows.withColumn("_from", F.pmod(F.col("_rank") - 1 + step, F.col("_rows")) + 1)
-    taken = ranked.select(F.col("_rank").alias("_from"), F.struct(*[F.col(f) for f in tested]).alias("_taken"))
-    mixed = rows.join(taken, "_from")
-    changed = {f: F.when(F.col("feature") == f, F.col(f"_taken.{f}")).otherwise(F.col(f)) for f in tested}
-    return mixed.select(*[c for c in df.columns if c not in changed], *[x.alias(f) for f, x in changed.items()], "feature", "turn")
+    sent = sent.select((F.pmod(F.col("_rank") - 1 - step, F.col("_rows")) + 1).alias("_rank"), "feature", "turn", "value")
+    # one value per tested feature and turn
+    taken = sent.groupBy("_rank").agg(F.collect_list(F.struct("feature", "turn", "value")).alias("_taken"))
+    mixed = ranked.drop("_rows").join(taken, "_rank").withColumn("_t", F.explode("_taken")).drop("_taken")
+    changed = {f: F.when(F.col("_t.feature") == f, F.col("_t.value")).otherwise(F.col(f).cast("double")) for f in tested}
+    return mixed.select(
+        *[c for c in df.columns if c not in changed], *[x.alias(f) for f, x in changed.items()],
+        F.col("_t.feature").alias("feature"), F.col("_t.turn").alias("turn"),
+    )
 
 
 def permutation_importance(scorer, df: DataFrame, features: Sequence[str], label: str, ids: Sequence[str],
