@@ -96,7 +96,7 @@ def melt_times(
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the last in the order; no sort, one aggregation."""
+    """One row per key, the last in the order: one aggregation, which sorts by key as it keeps whole rows."""
     row = F.struct(*df.columns)
     return df.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_r")).select("_r.*")
 

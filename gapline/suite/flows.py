@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gapline.config import ENTITY, PRESSURE_NAMES, TrainingSettings
 from gapline.functions.clock import hour_us
+from gapline.operators.blocks import one_row
 from gapline.operators import episodes as ep
 from gapline.operators import grids, labels
 from gapline.plans import flows, training
@@ -100,7 +101,7 @@ def holdout_flow(spark, d):
     folder = report.write(shared_folder(spark))
     area = spark.read.schema("roc_auc DOUBLE, average_precision DOUBLE").json(f"{folder}/metrics")
     counts = spark.read.parquet(f"{folder}/scores").agg(F.count(F.lit(1)).alias("n_validation"), F.sum("y").alias("n_positive"))
-    return counts.join(area.select((F.col("roc_auc") > 0.9).alias("signal_found")), F.lit(True))
+    return counts.withColumn("signal_found", one_row(area)["roc_auc"] > 0.9)
 
 
 @query("J21 P46 P48", """WITH y AS (SELECT o_custkey AS id, CAST(CASE arg_min(o_orderkey % 3, o_orderkey) WHEN 0 THEN 1 ELSE 0 END AS INT) AS y_doc

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gapline.session import shared_folder
-from gapline.sources import readers, versions, writers
+from gapline.sources import layout, readers, versions, writers
 from gapline.suite.registry import query, table
 
 
@@ -107,6 +107,19 @@ def stored_step(spark, d):
     return versions.read_version(spark, f"{base}/table")
 
 
+@query("S09 S14 J09", """SELECT o.o_custkey, c.c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
+WHERE c.c_custkey IN (SELECT user_id FROM events) GROUP BY o.o_custkey, c.c_mktsegment""")
+def bucketed_tables(spark, d):
+    """Tables stored in buckets of the customer: two joins and a group on it without an exchange."""
+    base = shared_folder(spark)
+    orders = table(spark, d, "orders").select("o_custkey", "o_totalprice")
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    kept = table(spark, d, "events").select(F.col("user_id").alias("o_custkey")).distinct()
+    stored = [layout.write_buckets(t, f"{base}/{n}", ["o_custkey"], 16) for n, t in (("orders", orders), ("customers", customers), ("kept", kept))]
+    rows = stored[0].join(layout.read_buckets(spark, f"{base}/customers"), "o_custkey").join(stored[2], "o_custkey", "left_semi")
+    return rows.groupBy("o_custkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("S19 S20", """SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY c_mktsegment""")
 def json_report(spark, d):
     report = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gapline.operators import boosting, evaluate, matrix, models
+from gapline.config import TrainingSettings
+from gapline.operators import boosting, evaluate, matrix
+from gapline.plans import training
 from gapline.sources.writers import materialize
 
 FEATURES = ["a", "b", "c"]
@@ -148,6 +150,20 @@ def test_importances_are_aggregates_of_nodes(spark):
         assert r["cover"] == pytest.approx(sum(n.cover for n in own) / len(own))
 
 
+def test_folds_of_trees_with_their_report(spark, tmp_path):
+    rows = [(f"m{i % 30}", i % 30 % 2, i, a, b, c, y) for i, a, b, c, y in made_rows(300)[:300]]
+    df = spark.createDataFrame(rows, "hashed_mother_id string, episode_idx int, id int, a double, b double, c double, y int")
+    settings = TrainingSettings(trees=2, depth=2, step=0.3, folds=3)
+    report = training.train_boosted_folds(df, FEATURES, ["id"], settings, f"{tmp_path}/work")
+    assert report.metrics.count() == 3
+    assert report.scores.count() == 300 and report.scores.select("fold", "hashed_mother_id").distinct().count() == 30
+    assert [r["count"] for r in report.scores.groupBy("fold").count().collect()] == [100] * 3
+    assert set(report.importance.columns) == {"feature", "gain", "weight", "cover", "total_gain", "total_cover"}
+    # positives weigh as many times as negatives outnumber them in the training rows, so both classes pull alike
+    root = next(n for n in report.model.nodes if n.node == 0)
+    assert 0 < root.n_rows < 200
+
+
 # ------------------------------------------------------------------ folds
 def plain_deal(sizes, k):
     loads = [0] * k
