@@ -15,8 +15,9 @@ a stratum or rule without enough labels gets no cutoff and rejects nothing.
 All labelled rows are counted, in one row per (stratum, rule, score bin); the selection works on those counts in Spark.
 
 Nulls: a null text has no words, a null language is a stratum of its own without a name.  A document with several labels
-is good only if all say so; labels without a document count nothing.  Repeated rows are rows of their own, an empty
-table of labels gives no cutoffs, an empty table of documents an empty result; extra columns pass through.
+is good only if all say so; labels without a document count nothing.  Repeated rows are rows of their own where they
+are judged, but a labelled id counts once for the cutoffs, or repeats would feign a larger holdout (of rows of one id
+that differ, the first by stratum and counts is taken).  An empty table of labels gives no cutoffs, an empty table of documents an empty result; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -124,6 +125,7 @@ def cutoffs(
     """
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("good"))
     held = measured.where(~base_failed(F.col("m"))).join(good, "doc_id")
+    held = held.groupBy("doc_id").agg(F.min(F.struct("stratum", "m", "good")).alias("one")).select("one.*")
     # the strictest cutoff that still keeps the document: bin b is kept by cutoffs b and above
     bins = F.array(*[
         F.struct(F.lit(rule).alias("rule"), F.least(F.ceil(F.coalesce(score(F.col("m")), F.lit(0.0)) / step), F.lit(BINS)).cast("int").alias("bin"))
