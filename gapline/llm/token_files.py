@@ -9,13 +9,14 @@ A file set is two Parquet tables, so that any store Spark writes to will do and
 `part` is the range partition of doc_id, so (part, block, place) is the order of (doc_id, text), null ids first.  One
 document is read by the block whose first_id..last_id holds it and its two offsets; nothing else is decompressed.
 
-Every text is encoded by the tokenizers library, as ordinary text, and ends with id `end_id`.  With a byte-level
-tokenizer, a stretch of white space and what follows it up to the next white space never shares a token with its
-neighbours, so such stretches are encoded once per worker and looked up after that; a text with other white space than
-the ASCII kinds, and any other kind of tokenizer, is encoded whole.
-
-The dictionary is fitted on a bounded sample of documents (`sample`, by a hash of the id; at most `SAMPLE_IDS` ids of
-each); it changes sizes only.  A null text is empty and holds the end id alone.  Repeated rows are documents of their
+Every text is encoded by the tokenizers library with its defaults (a special token spelled out in a text becomes its
+id) and ends with id `end_id`.  With a byte-level tokenizer, a stretch of white space and what follows it up to the next
+white space never shares a token with its neighbours, so such stretches are encoded once per worker and looked up after
+that, the different ones of a batch once; a text with other white space than the ASCII kinds or with a special token,
+and any other kind of tokenizer, is encoded whole.
+
+The dictionary is fitted on a bounded sample of documents (`sample`, by a hash of the id; of each, `SAMPLE_IDS` ids from
+a place that a hash of the id names); it changes sizes only.  A null text is empty and holds the end id alone.  Repeated rows are documents of their
 own.  An empty table gives empty files.
 """
 
@@ -30,6 +31,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
@@ -42,6 +44,10 @@ DICTIONARY_BYTES = 65_536
 BLOCK_DOCUMENTS = 64
 BLOCK_BYTES = 1 << 18
 KNOWN_STRETCHES = 1_200_000
+#: New stretches handed to the library as one text.
+JOINED = 64
+#: Put before the first stretch of a text; texts that hold it are encoded whole.
+_FIRST = "\x1c"
 BLOCKS = (
     "part int, block bigint, first_id bigint, last_id bigint, doc_ids array<bigint>, offsets array<bigint>, "
     "n_tokens array<bigint>, dictionary_sha256 string, frames binary"
@@ -74,7 +80,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         with open(path, encoding="utf-8") as f:
             settings = json.load(f)
@@ -83,6 +88,11 @@ class Encoder:
             settings.get("normalizer") is None and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
         )
+        self.special = [t["content"] for t in settings.get("added_tokens") or []]
+        self.by_stretch = self.by_stretch and all(self.special) and not any(re.search(r"\s", t) for t in self.special)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)  # ids whose text starts with a space
+        self.opens[[i for t, i in vocabulary.items() if t[:1] == "Ġ"]] = True
         self.after_space: dict[str, bytes] = {}  # the stretch without its space, or with its newline
         self.whole: dict[str, bytes] = {}
         self.newline = self._library(["\n"])[0]
@@ -99,6 +109,20 @@ class Encoder:
             return [array("H", e.ids).tobytes() for e in encoded]
         return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in encoded]
 
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of words after a space each: many at once, cut before each id that starts with a space."""
+        out: list[bytes] = []
+        for i in range(0, len(words), JOINED * 256):
+            part = words[i : i + JOINED * 256]
+            groups = [part[k : k + JOINED] for k in range(0, len(part), JOINED)]
+            for group, raw in zip(groups, self._library([" " + " ".join(g) for g in groups]), strict=True):
+                at = (np.flatnonzero(self.opens[np.frombuffer(raw, dtype=f"<u{self.width}")]) * self.width).tolist()
+                if len(at) == len(group):
+                    out += [raw[s:e] for s, e in zip(at, [*at[1:], len(raw)], strict=True)]
+                else:  # an empty word among them
+                    out += self._library([" " + w for w in group])
+        return out
+
     def _learn(self, after: set[str], whole: set[str]) -> None:
         """Ids of new stretches: after a space (or with their newline), and as they stand.
 
@@ -126,44 +150,54 @@ class Encoder:
             else:
                 words.add(part)
         new = [w for w in words if w not in known]
-        known.update(zip(new, self._library([" " + w for w in new]), strict=True))
+        known.update(zip(new, self._spaced(new), strict=True))
         new = [w for w in bare if w not in plain]
         plain.update(zip(new, self._library(new), strict=True))
         for part, word, end, table in joined:
             known[part] = (self.newline if table is plain else b"") + table[word] + plain[end]
 
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Texts of words with one space or newline between them: each different stretch is looked up once, the ids of
+        all are put together by their places."""
+        lists = pc.split_pattern(pa.array([_FIRST + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        blobs = list(map(self.after_space.get, parts))
+        if None in blobs:
+            holes = [i for i, b in enumerate(blobs) if b is None]
+            firsts = {i: parts[i][1:] for i in holes if parts[i][:1] == _FIRST}
+            self._learn({parts[i] for i in holes if i not in firsts}, {p for p in firsts.values() if p not in self.whole})
+            for i in holes:
+                blobs[i] = self.whole[firsts[i]] if i in firsts else self.after_space[parts[i]]
+        size = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // self.width
+        ids = np.frombuffer(b"".join(blobs), dtype=f"<u{self.width}")
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = size[which]
+        ends = np.cumsum(lengths)
+        moved = np.repeat((np.cumsum(size) - size)[which] - ends + lengths, lengths)
+        raw = ids[moved + np.arange(len(moved))].tobytes()
+        cuts = (np.r_[0, ends][lists.offsets.to_numpy()] * self.width).tolist()
+        return [raw[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_stretch:
             return self._library(texts)
         if len(self.after_space) + len(self.whole) > KNOWN_STRETCHES:
             self.after_space.clear()
             self.whole.clear()
-        plans: list[tuple] = []  # first stretch, the others, their ids, the places of those not met before, where to look
-        new_after: set[str] = set()
-        new_whole: set[str] = set()
-        odd: list[str] = []
-        for text in texts:
-            first, parts, table, new = "", (), self.whole, new_whole
-            if _wide(text):
-                odd.append(text)
-            elif _unusual(text):
-                parts = _STRETCH.findall(text)
-            else:
-                first, *parts = text.replace("\n", " \n").split(" ")
-                table, new = self.after_space, new_after
-                if first not in self.whole:
-                    new_whole.add(first)
-            found = list(map(table.get, parts))
-            holes = [i for i, f in enumerate(found) if f is None] if None in found else ()
-            new.update([parts[i] for i in holes])
-            plans.append((first, parts, found, holes, table))
-        self._learn(new_after, new_whole)
-        whole_texts = dict(zip(odd, self._library(odd), strict=True))
-        out = []
-        for text, (first, parts, found, holes, table) in zip(texts, plans, strict=True):
-            for i in holes:
-                found[i] = table[parts[i]]
-            out.append(whole_texts[text] if text in whole_texts else (self.whole[first] if first else b"") + b"".join(found))
+        plain, spaced, odd = [], [], []
+        for i, text in enumerate(texts):
+            (odd if _wide(text) or any(t in text for t in self.special) else spaced if _unusual(text) else plain).append(i)
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(odd, self._library([texts[i] for i in odd]), strict=True):
+            out[i] = ids
+        if plain:
+            for i, ids in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
+                out[i] = ids
+        cut = [_STRETCH.findall(texts[i]) for i in spaced]
+        self._learn(set(), {p for parts in cut for p in parts if p not in self.whole})
+        for i, parts in zip(spaced, cut, strict=True):
+            out[i] = b"".join([self.whole[p] for p in parts])
         return out
 
 
@@ -175,12 +209,16 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE_
     """Dictionary from about `sample` documents, chosen by a hash of their ids; empty if they are too few."""
     total = docs.count()
     share = min(1.0, sample / total) if total else 0.0
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("text")
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    chosen = chosen.select("text", F.xxhash64("doc_id", F.lit("place")).alias("place"))
 
     def run(batches):
         encoder = Encoder.of(tokenizer_path)
         for batch in batches:
-            arrays = [b[: SAMPLE_IDS * encoder.width] for b in encoder.encode(_strings(batch.column(0)))]
+            size, arrays = SAMPLE_IDS * encoder.width, []
+            for ids, place in zip(encoder.encode(_strings(batch.column(0))), batch.column(1).to_pylist(), strict=True):
+                at = size * (place % max(1, -(-len(ids) // size)))
+                arrays.append(ids[at : at + size])
             yield pa.RecordBatch.from_arrays([pa.array(arrays, pa.binary())], ["ids"])
 
     samples = [bytes(r["ids"]) for r in chosen.mapInArrow(run, "ids binary").limit(2 * sample).collect() if r["ids"]]
