@@ -6,10 +6,10 @@ byte fallback.  Control, unknown and unused pieces are never made from text, as
 
 Texts are normalised whole.  If no piece has the marker after another character, no token crosses the place before a
 marker, so a text is encoded stretch by stretch; the stretches that a worker has not met are encoded in one
-multithreaded batch, and each is encoded by the sentencepiece library as well.  Where the two differ (merges of equal
-text but other parts), the ids of the original are kept and the stretch is counted in `repaired`.  Any other model is
-encoded and compared text by text.  Every document is decoded again by the backend and compared with its normalised
-text.
+multithreaded batch.  The ids given out are the backend's.  Parity: the sentencepiece library encodes each of these
+stretches as well, and the backend decodes it again; `differing` counts the stretches of a document whose ids are not
+the original's, `round_trip` says whether all of them decode to the normalised text.  Any other model is encoded,
+compared and decoded text by text.
 
 A null text is empty and has no ids.  Repeated rows are rows of their own, an empty table gives an empty result; extra
 columns pass through.
@@ -31,8 +31,10 @@ from gapline.llm.common import add_struct
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KNOWN_STRETCHES = 400_000
-FIELDS = "n_tokens bigint, ids_crc32 bigint, repaired bigint, round_trip boolean"
+KNOWN_STRETCHES = 1_000_000
+#: New stretches that go to a library as one text (merges of one stretch do not depend on the next).
+JOINED = 64
+FIELDS = "n_tokens bigint, ids_crc32 bigint, differing bigint, round_trip boolean"
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -132,7 +134,11 @@ class Bridge:
         self.by_stretch = not any(re.search(f"[^{MARK}]{MARK}", p) for p in made)
         #: newlines stand alone, so a stretch may also be cut before one
         self.cut_lines = self.by_stretch and not any("\n" in p and len(p) > 1 for p in made)
-        self.known: dict[str, tuple[bytes, int]] = {}
+        self.opens = np.array([p[:1] == MARK for p, _, _ in m.pieces], dtype=bool)
+        self.known: dict[str, bytes] = {}
+        #: stretches of `known` that the original encodes otherwise, and those that decode to another text
+        self.differing: set[str] = set()
+        self.broken: set[str] = set()
 
     @classmethod
     def of(cls, path: str) -> "Bridge":
@@ -169,23 +175,62 @@ class Bridge:
                 out[k] = out[k][1:]
         return out
 
-    def learn(self, stretches: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)
-        for s, e, right in zip(stretches, encoded, self._originals(stretches), strict=True):
-            self.known[s] = (np.array(right, dtype="<u4").tobytes(), int(e.ids != right))
+    def _together(self, stretches: list[str]) -> tuple[list[str], list[bytes], list[bytes]]:
+        """Stretches of one marker and more, their ids by the backend and by the original: `JOINED` at once, cut before
+        each id that starts with a marker."""
+        groups = [stretches[k : k + JOINED] for k in range(0, len(stretches), JOINED)]
+        texts = ["".join(g) for g in groups]
+        mine = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: tuple[list[str], list[bytes], list[bytes]] = ([], [], [])
+        for group, *both in zip(groups, mine, self._originals(texts), strict=True):
+            cut = []
+            for ids in both:
+                array = np.array(ids, dtype="<u4")
+                at, raw = (np.flatnonzero(self.opens[array]) * 4).tolist(), array.tobytes()
+                cut.append([raw[s:e] for s, e in zip(at, [*at[1:], len(raw)], strict=True)])
+            if not len(group) == len(cut[0]) == len(cut[1]):
+                cut = self._single(group)
+            for column, x in zip(out, (group, *cut), strict=True):
+                column += x
+        return out
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
-        """(ids, repaired stretches) of each text."""
+    def _single(self, stretches: list[str]) -> list[list[bytes]]:
+        mine = [e.ids for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
+        return [[np.array(i, dtype="<u4").tobytes() for i in ids] for ids in (mine, self._originals(stretches))]
+
+    def learn(self, stretches: list[str]) -> None:
+        """Encode, compare and decode new stretches."""
+        simple = [s for s in stretches if s[0] == MARK and MARK not in s[1:] and len(s) > 1] if self.model.kind == BPE and self.by_stretch else []
+        rest = [s for s in stretches if not (s[0] == MARK and MARK not in s[1:] and len(s) > 1)] if simple else stretches
+        given, mine, original = self._together(simple)
+        given += rest
+        for column, x in zip((mine, original), self._single(rest), strict=True):
+            column += x
+        self.known.update(zip(given, mine, strict=True))
+        self.differing.update([s for s, x, y in zip(given, mine, original, strict=True) if x != y])
+        back = self.decode([np.frombuffer(x, dtype="<u4") for x in mine])
+        self.broken.update([s for s, x in zip(given, back, strict=True) if x != self._readable(s)])
+
+    def _readable(self, normal: str) -> str:
+        text = normal.replace(MARK, " ")
+        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, int, bool]]:
+        """(ids, stretches that the original encodes otherwise, round trip) of each text."""
         cut = [self._stretches(t) for t in texts]
         if len(self.known) > KNOWN_STRETCHES:
-            self.known.clear()
-        self.learn([s for s in set().union(*cut) if s not in self.known])
-        out, known = [], self.known
+            for table in (self.known, self.differing, self.broken):
+                table.clear()
+        known = self.known
+        self.learn([s for s in set().union(*cut) if s not in known])
+        out = []
         for stretches in cut:
-            found = [known[s] for s in stretches]
-            out.append((np.frombuffer(b"".join([f[0] for f in found]), dtype="<u4"), sum(f[1] for f in found)))
+            ids = np.frombuffer(b"".join([known[s] for s in stretches]), dtype="<u4")
+            differing = sum(s in self.differing for s in stretches) if self.differing else 0
+            out.append((ids, differing, not self.broken or self.broken.isdisjoint(stretches)))
         if not self.by_stretch:
-            self.known.clear()  # whole texts are not kept
+            for table in (self.known, self.differing, self.broken):
+                table.clear()  # whole texts are not kept
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
@@ -198,18 +243,15 @@ class Bridge:
 
 
 def encode(docs: DataFrame, name: str, path: str, with_ids: bool = False) -> DataFrame:
-    """All rows and columns of `docs` and a struct: n_tokens, ids_crc32 (little-endian 32-bit ids), repaired,
+    """All rows and columns of `docs` and a struct: n_tokens, ids_crc32 (little-endian 32-bit ids), differing,
     round_trip, and the ids themselves if asked for.  No shuffle."""
 
     def compute(texts: list[bytes]) -> list[list]:
-        bridge = Bridge.of(path)
-        plain = [t.decode() for t in texts]
-        encoded = bridge.encode(plain)
-        decoded = bridge.decode([ids for ids, _ in encoded])
+        encoded = Bridge.of(path).encode([t.decode() for t in texts])
         columns = [
-            [len(ids) for ids, _ in encoded], [zlib.crc32(ids.tobytes()) for ids, _ in encoded], [r for _, r in encoded],
-            [d == bridge.expected(t) for d, t in zip(decoded, plain, strict=True)],
+            [len(ids) for ids, *_ in encoded], [zlib.crc32(ids) for ids, *_ in encoded],
+            [d for _, d, _ in encoded], [r for *_, r in encoded],
         ]
-        return columns + ([[ids.astype(np.int32) for ids, _ in encoded]] if with_ids else [])
+        return columns + ([[ids.view(np.int32) for ids, *_ in encoded]] if with_ids else [])
 
     return add_struct(docs, "text", name, FIELDS + (", ids array<int>" if with_ids else ""), compute)

@@ -5,9 +5,11 @@ import math
 import random
 import re
 import struct
+import zlib
 
 import numpy as np
 import pytest
+import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
@@ -277,6 +279,15 @@ def test_cutoffs_against_brute_force(spark):
         assert got[stratum].good_rejected / len(goods) <= 0.1
 
 
+def test_repeats_of_a_label_count_once(spark):
+    rows = [(i, "en", (100, 500, i % 3 if i < 200 else 90, 0, 0, 10)) for i in range(250)]
+    schema = f"doc_id long, stratum string, m struct<{', '.join(f'{x.split()[0]}: bigint' for x in quality.FIELDS.split(', '))}>"
+    labels = spark.createDataFrame([(i, int(i < 200), 0) for i in range(250)], "doc_id long, quality long, toxic long")
+    chosen = [quality.cutoffs(spark.createDataFrame(rows * n, schema), labels, alpha=a).orderBy("rule").collect() for a in (0.02, 0.3) for n in (1, 20)]
+    assert chosen[0] == chosen[1] == []
+    assert chosen[2] == chosen[3] and chosen[2] and chosen[2][0].n_good == 200
+
+
 # --- token files
 
 
@@ -297,18 +308,19 @@ def test_stretches_give_the_ids_of_whole_texts():
 
 def test_token_files_come_back(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoder = token_files.Encoder(path)
-    rows = [(7, "seven"), (3, "three is here"), (None, "none"), (5, None), (5, "again five"), (5, "again five"), (9, tables.LONG)] + [(100 + i, f"text number {i} " * 20) for i in range(400)]
+    encoder, plain = token_files.Encoder(path), tokenizers.Tokenizer.from_file(path)
+    rows = [(7, "seven"), (3, "three is here"), (None, "none"), (5, None), (5, "again five"), (5, "again five"), (9, tables.LONG), (11, "x <|endoftext|> y")] + [(100 + i, f"text number {i} " * 20) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     folder = Steps(spark).folder + "/tokens"
     token_files.write(spark, docs, folder, path, end_id=0)
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want, at = [], 0
     for doc_id, text in ordered:
-        n = len(encoder.tokenizer.encode(text or "", add_special_tokens=False).ids) + 1
-        want.append((doc_id, at, n))
-        at += n
-    got = [(r.doc_id, r.start, r.n_tokens) for r in token_files.read_index(spark, folder).collect()]
+        ids = plain.encode(text or "", add_special_tokens=False).ids + [0]
+        want.append((doc_id, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        at += len(ids)
+    assert encoder.tokenizer.encode("x <|endoftext|> y", add_special_tokens=False).ids == np.frombuffer(encoder.encode(["x <|endoftext|> y"])[0], "<u2").tolist()
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_index(spark, folder).collect()]
     assert sorted(got, key=lambda r: r[1]) == want
     few = {r.doc_id: r.ids for r in token_files.read_documents(spark, folder, [9, 120, 4]).collect()}
     assert set(few) == {9, 120}
@@ -325,8 +337,8 @@ def test_bridge_equals_the_original_model():
     rng = random.Random(12)
     texts = ODD + ["".join(rng.choice([" ", "\n", "ab", "the", "é", "1", ".", "\t", "日"]) for _ in range(20)) for _ in range(200)]
     encoded = bridge.encode(texts)
-    for text, (ids, repaired), back in zip(texts, encoded, bridge.decode([i for i, _ in encoded]), strict=True):
-        assert ids.tolist() == bridge.original.encode(text) and repaired == 0, repr(text)
+    for text, (ids, differing, whole), back in zip(texts, encoded, bridge.decode([i for i, *_ in encoded]), strict=True):
+        assert ids.tolist() == bridge.original.encode(text) and differing == 0 and whole, repr(text)
         assert back == bridge.expected(text) or back == bridge.expected(text).replace("  ", " ")
 
 
@@ -353,7 +365,18 @@ def test_bridge_rebuilds_a_unigram_model(tmp_path):
     path.write_bytes(data)
     bridge = sentencepiece_bridge.Bridge(str(path))
     texts = ["ab ba aba", "abab  baab", "é ab", "", "b"]
-    assert [(i.tolist(), r) for i, r in bridge.encode(texts)] == [(bridge.original.encode(t), 0) for t in texts]
+    assert [(i.tolist(), d, r) for i, d, r in bridge.encode(texts)] == [(bridge.original.encode(t), 0, True) for t in texts]
+
+
+def test_bridge_tells_a_wrong_rebuild():
+    """Ids come from the backend: with the merges of a piece taken away, they differ and parity says so."""
+    bridge = sentencepiece_bridge.Bridge(public_tokenizers.path("piece_bpe_32k.model"))
+    bridge.opens = bridge.opens.copy()
+    piece = bridge.original.encode("the")
+    bridge.original, kept = type("Other", (), {"encode": lambda self, texts, num_threads=1: [[i for i in kept.encode(t)][::-1] for t in texts]})(), bridge.original
+    (ids, differing, whole), = bridge.encode(["the theoretical"])
+    assert ids.tolist() == kept.encode("the theoretical") and ids.tolist()[: len(piece)] == piece
+    assert differing >= 1 and whole
 
 
 # --- substring dedup
