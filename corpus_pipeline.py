@@ -45,7 +45,7 @@ def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     _ready(spark)
     name = free_name(docs, "pieces")
     rows = sentencepiece_bridge.encode(docs, name, public_tokenizers.path(PIECE_MODEL), with_ids=True)
-    fields = ("ids", "n_tokens", "ids_crc32", "repaired", "round_trip")
+    fields = ("ids", "n_tokens", "ids_crc32", "differing", "round_trip")
     return rows.select(*docs.columns, *[F.col(name)[f].alias(free_name(docs, f)) for f in fields])
 
 
