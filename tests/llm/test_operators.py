@@ -418,6 +418,40 @@ def test_many_copies_stay_linear(spark):
     assert {r.class_id for r in substring_dedup.classes(Steps(spark), docs).collect()} == {0}
 
 
+def test_copies_are_one_node_with_all_their_ids(spark):
+    """Equal texts are linked without keys: no neighbour is left out, and none is found twice."""
+    text = " ".join(f"c{i}" for i in range(60))
+    docs = docs_of(spark, [text] * 90 + ["short text"] * 3 + [text + " more"])
+    rows = substring_dedup.classes(Steps(spark), docs).orderBy("doc_id").collect()
+    assert [r.class_id for r in rows] == [0] * 90 + [90, 91, 92, 0]
+    assert {(r.n_links, r.n_repeated_words, r.spans) for r in rows[:90]} == {(90, 60, "0:60")}
+    assert (rows[93].n_links, rows[93].spans) == (1, "0:60")
+
+
+def test_links_stay_linear_however_many_tasks_cut_a_key(spark):
+    text = " ".join(f"c{i}" for i in range(120))
+    docs = substring_dedup.keyed(docs_of(spark, [f"{i} x{i} " + text for i in range(400)]))
+    found = Steps(spark).store(substring_dedup.windows(docs))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        assert substring_dedup.window_links(Steps(spark), found).count() <= 2 * found.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_every_window_of_a_long_document_between_two_others_is_linked(spark):
+    """The middle document's rows fill whole tasks of the key."""
+    row = lambda doc, centre: (7, 0, doc, centre - 50, centre, centre + 50)
+    found = spark.createDataFrame([row(1, 60), *[row(2, 60 + i) for i in range(4000)], row(3, 60)], substring_dedup.WINDOWS)
+    links, frequent = substring_dedup.key_links(Steps(spark), found)
+    near = {r["shift"] for r in links.where("a = 2 AND b = 1 OR a = 1 AND b = 2").collect()}
+    assert {abs(x) for x in near} == set(range(4000))
+    assert frequent.distinct().count() == frequent.count() == 4002
+    alone, rest = substring_dedup.key_links(Steps(spark), found.where("doc = 2"))
+    assert alone.count() == rest.count() == 0
+
+
 def test_passages_behind_frequent_phrases_are_found(spark):
     rng = random.Random(29)
     fresh = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
