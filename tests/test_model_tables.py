@@ -238,3 +238,26 @@ def test_fusion_uses_common_entities(spark):
 
     out = {r.mother_id: r for r in fuse(static, seqs, ys, c=100.0).collect()}
     assert sorted(out) == list(range(5, 18)) and out[5].sequence_score == 0.5 and out[17].fused_score > out[6].fused_score
+
+
+def test_no_task_gets_all_rows_of_a_text(spark):
+    """A few texts own all rows: the join that codes them is dealt over many tasks."""
+    from pyspark.sql import functions as F
+
+    from gapline.operators import statics
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        kids = spark.range(2000).select(
+            F.col("id").cast("string").alias("hashed_mother_id"),
+            F.when(F.col("id") % 4 == 0, " Breech .").when(F.col("id") % 4 < 3, "Cephalic").alias("pose"),
+        )
+        coded = statics._with_codes(kids, statics.pose_codebook(kids), "hashed_mother_id").withColumn("task", F.spark_partition_id())
+        counts = {r.pose_code: (r.n, r.tasks) for r in coded.groupBy("pose_code").agg(F.count("*").alias("n"), F.countDistinct("task").alias("tasks")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {k: n for k, (n, _) in counts.items()} == {0.0: 500, 1.0: 1000, None: 500}
+    assert min(tasks for _, tasks in counts.values()) > 1
