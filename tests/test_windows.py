@@ -211,3 +211,17 @@ def test_labels_without_doses_keep_all(spark):
     none = bounds.select("k", F.lit(None).cast("timestamp_ntz").alias("dose_time"))
     out = labels.label_last_before_event(grid, bounds, none, ["k"], hour_us).collect()
     assert len(out) == 4 and all(r.label == 0 and r.trigger_dose_time is None for r in out)
+
+
+def test_tasks_read_a_bounded_part_of_a_shuffle(spark):
+    """Window stages multiply what a task reads: its part is bounded, smaller settings stay."""
+    from gapline.session import TASK_MB, configure
+
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    try:
+        for given, want in (("64m", f"{TASK_MB}m"), ("67108864b", f"{TASK_MB}m"), ("1g", f"{TASK_MB}m"), ("1m", "1m"), ("16k", "16k")):
+            spark.conf.set(key, given)
+            assert configure(spark).conf.get(key) == want
+    finally:
+        spark.conf.set(key, old)
