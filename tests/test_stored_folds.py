@@ -33,3 +33,16 @@ def test_groups_are_joined_by_their_columns(spark):
 
 def test_imputation_reads_stored_folds(spark, small_dir):
     assert "Window" not in plan_of(all_queries()["fold_imputation"].run(spark, small_dir))
+
+
+def test_tree_fits_read_stored_folds(spark, small_dir, monkeypatch):
+    seen = []
+
+    def fit(df, *args, **kwargs):
+        seen.append(plan_of(df))
+        raise RuntimeError("seen")
+
+    monkeypatch.setattr(models, "fit_trees", fit)
+    with pytest.raises(RuntimeError):
+        all_queries()["trees_cross_validated"].run(spark, small_dir)
+    assert len(seen) == 1 and "Window" not in seen[0]
