@@ -46,3 +46,15 @@ def test_tree_fits_read_stored_folds(spark, small_dir, monkeypatch):
     with pytest.raises(RuntimeError):
         all_queries()["trees_cross_validated"].run(spark, small_dir)
     assert len(seen) == 1 and "Window" not in seen[0]
+
+
+def test_plain_training_rows_are_not_copied(rows):
+    stored = []
+
+    def store(table, name):
+        stored.append(name)
+        return table.localCheckpoint()
+
+    learner = models.boosted_learner("y", [], trees=1, depth=1, subsample=1.0, columns=1.0)
+    _, scores, _ = models.cross_validate(rows, ["a", "b"], "y", ["g"], 3, learner=learner, store=store)
+    assert scores.count() == 400 and stored == ["folds", "scores", "metrics"]
