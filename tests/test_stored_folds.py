@@ -58,3 +58,9 @@ def test_plain_training_rows_are_not_copied(rows):
     learner = models.boosted_learner("y", [], trees=1, depth=1, subsample=1.0, columns=1.0)
     _, scores, _ = models.cross_validate(rows, ["a", "b"], "y", ["g"], 3, learner=learner, store=store)
     assert scores.count() == 400 and stored == ["folds", "scores", "metrics"]
+
+
+def test_deltas_form_no_other_statistic(spark, small_dir):
+    plan = plan_of(all_queries()["personalized_deltas"].run(spark, small_dir))
+    assert "fine_abs_from_prebirth_last" in plan
+    assert "coarse" not in plan and "median" not in plan and "shock_index" not in plan
