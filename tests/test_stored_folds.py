@@ -64,3 +64,20 @@ def test_deltas_form_no_other_statistic(spark, small_dir):
     plan = plan_of(all_queries()["personalized_deltas"].run(spark, small_dir))
     assert "fine_abs_from_prebirth_last" in plan
     assert "coarse" not in plan and "median" not in plan and "shock_index" not in plan
+
+
+@pytest.mark.parametrize("groups", [40, 2])
+def test_one_fit_for_all_folds(rows, groups, monkeypatch):
+    """Also with more folds than groups."""
+    calls = []
+
+    def fit(df, features, fold=None, *args):
+        calls.append(fold)
+        return matrix.fit_scalers(df, features, fold, *args)
+
+    monkeypatch.setattr(models, "fit_scalers", fit)
+    monkeypatch.setattr(models, "fit_scaler", lambda df, features: fit(df, features))
+    df = rows.withColumn("g", F.col("g") % groups)
+    _, scores, metrics = models.cross_validate(df, ["a", "b"], "y", ["g"], k=3, fill=True, store=lambda t, _: t.localCheckpoint(), trees=1, depth=1, step=0.3)
+    assert scores.count() == 400 and {r.fold for r in metrics.collect()} == set(range(min(groups, 3)))
+    assert calls == (["fold"] if groups == 40 else ["fold", None])
